@@ -71,5 +71,5 @@ if __name__ == "__main__":
         except Exception as x:
             why = n = f"ERROR {str(x)[:900]}"
         bad += bool(why)
-        print(f"{name:32s} {time.time() - t:6.1f}s {n}", flush=True)
+        print(f"{name:32s} {time.time() - t:6.1f}s {n}"[:700].replace("\n", " "), flush=True)
     print("bad:", bad)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import records
+from . import graph, records
 from .registry import Query
 
-MODULES = [records]
+MODULES = [graph, records]
 
 
 def queries() -> dict[str, Query]:
