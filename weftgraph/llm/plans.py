@@ -4,11 +4,28 @@ from __future__ import annotations
 
 from ..plans.registry import Query, Registry
 from ..sources.tables import table
-from . import leaks, mixing, repetition, syntax
+from . import docpairs, leaks, mixing, repetition, syntax
 
 R = Registry()
 
 
+def _code_tables(spark, d):
+    return (
+        table(spark, d, "nodes", "id", "label", "file_type", "source_file", "source_line", "docstring"),
+        table(spark, d, "file_contents", "file_path", "content"),
+    )
+
+
+@R.query("p1_found")
+def p1_found(spark, d):
+    return docpairs.documented_ids(*_code_tables(spark, d))
+
+
+@R.query("p1_pairs")
+def p1_pairs(spark, d):
+    return docpairs.pairs(*_code_tables(spark, d))
+
+
 @R.query("p5_found")
 def p5_found(spark, d):
     return syntax.invalid_files(table(spark, d, "file_contents", "file_path", "content"), table(spark, d, "file_manifest", "file_path", "file_type", "repo")).select("file_path")
