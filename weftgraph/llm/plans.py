@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..plans.registry import Query, Registry
 from ..sources.tables import table
-from . import docpairs, leaks, mixing, repetition, syntax
+from . import docpairs, handwritten, leaks, mixing, repetition, syntax
 
 R = Registry()
 
@@ -26,19 +26,38 @@ def p1_pairs(spark, d):
     return docpairs.pairs(*_code_tables(spark, d))
 
 
+def _file_tables(spark, d):
+    return table(spark, d, "file_contents", "file_path", "content"), table(spark, d, "file_manifest", "file_path", "file_type", "repo")
+
+
+@R.query("p4_found")
+def p4_found(spark, d):
+    return handwritten.not_handwritten(*_file_tables(spark, d)).select("file_path")
+
+
+@R.query("p4_kinds")
+def p4_kinds(spark, d):
+    return handwritten.not_handwritten(*_file_tables(spark, d))
+
+
+@R.query("p4_measures")
+def p4_measures(spark, d):
+    return handwritten.measured(_file_tables(spark, d)[0]).drop("print").distinct()
+
+
 @R.query("p5_found")
 def p5_found(spark, d):
-    return syntax.invalid_files(table(spark, d, "file_contents", "file_path", "content"), table(spark, d, "file_manifest", "file_path", "file_type", "repo")).select("file_path")
+    return syntax.invalid_files(*_file_tables(spark, d)).select("file_path")
 
 
 @R.query("p5_errors")
 def p5_errors(spark, d):
-    return syntax.invalid_files(table(spark, d, "file_contents", "file_path", "content"), table(spark, d, "file_manifest", "file_path", "file_type", "repo"))
+    return syntax.invalid_files(*_file_tables(spark, d))
 
 
 @R.query("p5_rates")
 def p5_rates(spark, d):
-    return syntax.rates(table(spark, d, "file_contents", "file_path", "content"), table(spark, d, "file_manifest", "file_path", "file_type", "repo"))
+    return syntax.rates(*_file_tables(spark, d))
 
 
 def _leaks(spark, d):
