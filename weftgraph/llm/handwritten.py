@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import norm_path
+from ..session import materialize
 from ..sources import code
 from . import lexers
 from .arrow import map_rows
@@ -303,7 +304,7 @@ def not_handwritten(contents: DataFrame, manifest: DataFrame) -> DataFrame:
     from .syntax import code_paths
 
     m = measured(contents).groupBy("file_path").agg(F.max("kind").alias("kind"), F.max("print").alias("print"))
-    m = m.join(code_paths(manifest).select("file_path"), "file_path", "left_semi")
+    m = materialize(m.join(code_paths(manifest).select("file_path"), "file_path", "left_semi"))  # measured once, read three times
     known = m.where("kind = 'vendored' and print is not null").select("print").distinct()
     copies = m.where("kind is null and print is not null").join(known, "print", "left_semi").select("file_path", F.lit("vendored").alias("kind"))
     return m.where("kind is not null").select("file_path", "kind").unionByName(copies)
