@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import graph, records
+from . import build, graph, records
 from .registry import Query
 
-MODULES = [graph, records]
+MODULES = [graph, records, build]
 
 
 def queries() -> dict[str, Query]:
