@@ -9,6 +9,7 @@ from ..functions.scalars import norm_path
 from ..operators import build as B
 from ..operators import export, incremental
 from ..operators import graph as G
+from ..sources import extraction
 from ..sources.code import EXTENSIONS
 from ..sources.tables import table
 from . import graph as GP
@@ -313,6 +314,20 @@ def callee_names(spark, d):
     return names.select("file_path", X.callee("x").alias("callee")).groupBy("callee").agg(F.count("*").alias("n"), F.countDistinct("file_path").alias("files"))
 
 
+@R.query("extract_code")
+def extract_code(spark, d):
+    """Nodes and edges of every source file."""
+    return extraction.extract_code(table(spark, d, "file_contents", "file_path", "content").distinct())
+
+
+@R.query("parse_code_udtf")
+def parse_code_udtf(spark, d):
+    """The extractor as an SQL table function: nodes per type and language."""
+    extraction.register(spark)
+    table(spark, d, "file_contents", "file_path", "content").distinct().createOrReplaceTempView("_files_to_parse")
+    return spark.sql("SELECT node_type, count(*) AS n FROM _files_to_parse f, LATERAL parse_code(f.file_path, f.content) t WHERE t.kind = 'node' GROUP BY node_type")
+
+
 _TEXT = r"trim(regexp_replace(regexp_replace(text, '<[^>]*>|<[^>]*$|>', ' ', 'g'), '(\s)\s+', '\1', 'g'))"
 
 
