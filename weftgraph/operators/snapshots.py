@@ -26,6 +26,11 @@ def last_deliveries(df: DataFrame) -> DataFrame:
     return df.join(small(numbers, MAX_NUMBERS), "snapshot_no").where(F.col("delivered_at").eqNullSafe(F.col("_last"))).drop("_last")
 
 
+def pruned(df: DataFrame, key: Column, value: Column) -> DataFrame:
+    """Only what a comparison needs, so that no other column of the table can clash with the names used here."""
+    return df.select("snapshot_no", "delivered_at", key.alias("record_key"), value.alias("compared"))
+
+
 def key_hash_index(df: DataFrame, key: Column, value: Column) -> DataFrame:
     """(step, snapshot_no, record_key, h): the index of every snapshot in df, one row per key.
 
@@ -72,7 +77,7 @@ def snapshot_changes(df: DataFrame, key: Column, value: Column) -> DataFrame:
     Absent numbers are skipped: a snapshot is compared with the existing one before it. Of deliveries of one
     number the last counts. Null keys are ignored; a table with one snapshot or none gives no rows.
     """
-    return probe(key_hash_index(last_deliveries(df), key, value))
+    return probe(key_hash_index(last_deliveries(pruned(df, key, value)), F.col("record_key"), F.col("compared")))
 
 
 def changed_values(df: DataFrame, changes: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -80,7 +85,7 @@ def changed_values(df: DataFrame, changes: DataFrame, key: Column, value: Column
 
     Values are fetched only for keys in `changes`, by an equi-join on step and key.
     """
-    rows = last_deliveries(df).select("step", "snapshot_no", key.alias("record_key"), value.alias("v"))
+    rows = last_deliveries(pruned(df, key, value)).select("step", "snapshot_no", "record_key", F.col("compared").alias("v"))
     steps = rows.select("step", "snapshot_no").distinct()
     asked = changes.where("change = 'changed'").join(small(steps, MAX_NUMBERS), "snapshot_no").select("step", "snapshot_no", "record_key")
     new = asked.join(rows.drop("snapshot_no"), ["step", "record_key"]).groupBy("snapshot_no", "record_key").agg(F.max("v").alias("new_value"))
@@ -119,7 +124,8 @@ class SnapshotIndex:
         """(record_key, change) against the last snapshot; everything is `added` at first. The index is swapped."""
         old = self.index()
         n = (self.versions() or [0])[-1] + 1
-        new = key_hash_index(snapshot.withColumns({"step": F.lit(n), "snapshot_no": F.lit(n)}), key, value).select(
+        rows = snapshot.select(F.lit(n).alias("step"), F.lit(n).alias("snapshot_no"), key.alias("record_key"), value.alias("compared"))
+        new = key_hash_index(rows, F.col("record_key"), F.col("compared")).select(
             F.pmod(F.xxhash64("record_key"), F.lit(self.buckets)).cast("int").alias("bucket"), "record_key", "h"
         )
         new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/index-{n}")

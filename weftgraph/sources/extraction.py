@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from ..functions.extract import IMPORTS, TAGS
 from ..functions.scalars import norm_path
 from . import code
 
 BATCH = 256
+_RATIONALE = re.compile(r"(?:#+|//+!?|--+|;+|%+)\s*(" + "|".join(TAGS) + r"):\s*(.*)")
+
+
+def unquoted(docstring: str | None) -> str | None:
+    """A docstring literal without its prefix and quotes."""
+    return docstring and re.sub(r"\A[a-zA-Z]{0,2}(\"\"\"|'''|\"|')\s*([\s\S]*?)\s*\1\Z", r"\2", docstring.strip())
 
 
 def stem_of(path: str) -> str:
@@ -30,24 +40,43 @@ def _target(name: str) -> str:
 def rows_of(path: str, text: str):
     """Tuples (kind, id, label, line, docstring, node_type, source, target, relation, confidence, score) of one file.
 
-    Nodes: the file, its classes, its functions. Edges: the file contains classes and functions, a class contains
-    its methods, a function calls names (guessed targets). A nested function belongs to the class or the file.
+    Nodes: the file, its classes, its functions, tagged comments. Edges: the file contains classes and functions, a
+    class contains its methods, a function calls names (guessed targets), the file imports modules, a tagged comment
+    is the rationale for the nearest declaration at or before its line. A nested function belongs to the class or the file.
     """
     language = code.language_of(path)
     if not language or text is None:
         return
     p = code.parse(text, language)
     file_id = _id(stem_of(path))
+    lines = text.replace("\r\n", "\n").split("\n")
+    pattern = IMPORTS.get(language)
+    if pattern:
+        for n, line in enumerate(lines, 1):
+            m = re.match(pattern, line)
+            if m and (module := next((g for g in m.groups() if g), "")):
+                yield "edge", None, None, n, None, None, file_id, _target(module), "imports", "EXTRACTED", 1.0
+    found = sorted([(1, file_id), *((c.line, _id(file_id, c.name)) for c in p.classes)])
+    for f in p.functions:
+        found.append((f.line, _id(file_id, f.owner, f.name) if f.owner else _id(file_id, f.name)))
+    found.sort()
+    for c in p.comments:
+        m = _RATIONALE.match(c.text)
+        if m:
+            rid = _id(file_id, "rationale", str(c.first))
+            above = found[max(0, bisect_right(found, (c.first, chr(0x10FFFF))) - 1)][1]
+            yield "node", rid, f"{m[1]}: {m[2].strip()}", c.first, None, "rationale", None, None, None, None, None
+            yield "edge", None, None, c.first, None, None, rid, above, "rationale_for", "EXTRACTED", 1.0
     yield "node", file_id, path.rpartition("/")[2], 1, None, "file", None, None, None, None, None
     classes = {}
     for c in p.classes:
         classes[c.name] = _id(file_id, c.name)
-        yield "node", classes[c.name], c.name, c.line, c.docstring, "class", None, None, None, None, None
+        yield "node", classes[c.name], c.name, c.line, unquoted(c.docstring), "class", None, None, None, None, None
         yield "edge", None, None, c.line, None, None, file_id, classes[c.name], "contains", "EXTRACTED", 1.0
     for f in p.functions:
         parent = classes.get(f.owner) or (_id(file_id, f.owner) if f.owner else file_id)
         fid = _id(parent, f.name)
-        yield "node", fid, f"{f.name}()", f.line, f.docstring, "function", None, None, None, None, None
+        yield "node", fid, f"{f.name}()", f.line, unquoted(f.docstring), "function", None, None, None, None, None
         yield "edge", None, None, f.line, None, None, parent, fid, "contains", "EXTRACTED", 1.0
         for name in code.calls(p, f):
             yield "edge", None, None, f.line, None, None, fid, _target(name), "calls", "INFERRED", 0.7
