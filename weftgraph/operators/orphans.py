@@ -97,7 +97,7 @@ def advance(state: OrphanState | None, edges: DataFrame, nodes: DataFrame) -> Or
     Nulls: a null endpoint is an empty id and missing; a null id of a node is ignored; a null loaded_at is never
     late. Edges delivered twice count once. Empty batches leave the state as it is.
     """
-    fresh = references(edges).distinct()
+    fresh = references(edges)  # repeated deliveries are dropped from the result, not here: that would shuffle everything
     new_index = parent_index(nodes)
     if state is None:
         index, ask, keep = new_index, fresh, None
