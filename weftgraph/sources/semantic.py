@@ -55,6 +55,8 @@ def enrich(files: DataFrame, backend: Backend | None = None, pause: float = 0.0)
     backend = backend or Noop()
 
     def stage(batches):
+        import pandas as pd
+
         for pdf in batches:
             paths, answers = [], []
             for p, t in zip(pdf["file_path"], pdf["content"]):
@@ -64,7 +66,7 @@ def enrich(files: DataFrame, backend: Backend | None = None, pause: float = 0.0)
                 except Exception:  # a file that cannot be enriched stays without
                     pass
                 time.sleep(pause)
-            yield pdf.head(len(paths)).assign(file_path=paths, content=answers)[["file_path", "content"]]
+            yield pd.DataFrame({"file_path": paths, "content": answers}, dtype=object)
 
     answers = files.select("file_path", "content").where("content is not null").mapInPandas(stage, "file_path string, content string")
     x = answers.select("file_path", F.from_json(salvage_json("content"), SEMANTIC).alias("x"))

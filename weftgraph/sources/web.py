@@ -26,6 +26,8 @@ def fetch(urls: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
     """
 
     def stage(batches):
+        import pandas as pd
+
         for pdf in batches:
             out = []
             for url in pdf["url"]:
@@ -34,7 +36,8 @@ def fetch(urls: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
                     out.append(body.decode("utf-8", "replace") if len(body) <= MAX_DOWNLOAD else None)
                 except Exception:  # one bad URL must not end the job
                     out.append(None)
-            yield pdf[["url", "file_name", "is_pdf"]].assign(body=out)
+            columns = {c: list(pdf[c]) for c in ("url", "file_name", "is_pdf")}
+            yield pd.DataFrame(columns | {"body": out}, dtype=object)
 
     got = allowed(urls).select("url", "file_name", "is_pdf").mapInPandas(stage, "url string, file_name string, is_pdf boolean, body string")
     return got.select("url", "file_name", F.when(X.looks_like_html("body"), X.html_to_text("body")).otherwise(F.col("body")).alias("text"))

@@ -13,7 +13,8 @@ from ..functions import extract as X
 
 def changed_files(spark: SparkSession, root: str) -> DataFrame:
     """A stream of (file_path, modified) of files that appear or change below a folder, of the known types."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    layout = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.readStream.format("binaryFile").schema(layout).option("recursiveFileLookup", "true").load(root)
     return raw.select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified")).where(X.file_type("path").isNotNull())
 
 
