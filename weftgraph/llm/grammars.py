@@ -261,7 +261,7 @@ caseitem: expr | type
 select: 'select' '{' {comm} '}'
 comm: ('case' simple | 'default') ':' [stmts]
 exprs: expr {',' expr}
-expr: unary | expr (BIN | '+' | '-' | '*' | '|') unary
+expr: unary | expr (BIN | '&' | '+' | '-' | '*' | '|') unary
 unary: primary | ('+' | '-' | '!' | '*' | '<-' | '&' | BIN) unary
 primary: operand | primary '.' ID | primary '.' '(' (type | 'type') ')' | primary '[' index ']' | primary '(' [args [',']] ')' | primary composite
 index: expr [',' types] | [expr] ':' [expr] [':' expr] | type
@@ -335,7 +335,7 @@ unary: postfix | postfix INC | ('+' | '-' | '!' | '~' | INC) unary | '(' jtype {
 postfix: primary | postfix '.' [targs] name | postfix '(' [exprs] ')' | postfix '[' expr ']' | postfix '.' 'new' ref '(' [exprs] ')' [body]
   | postfix '.' ('this' | 'class' | 'super') | (postfix | jtype) '::' [targs] (name | 'new')
 primary: name | NUM | STR | CHR | 'true' | 'false' | 'null' | 'this' | 'super' | '(' expr ')' | 'new' ref '(' [exprs] ')' [body]
-  | 'new' (PRIM | ref) newdims | 'new' (PRIM | ref) dims {dims} init | (PRIM | ref) {dims} '.' 'class' | 'void' '.' 'class'
+  | 'new' (PRIM | ref) newdims | 'new' (PRIM | ref) dims {dims} init | (PRIM | ref) {dims} '.' 'class'
 newdims: '[' expr ']' | newdims '[' expr ']' | newdims '[' ']'
 """
 
@@ -385,7 +385,7 @@ expr: expr1 {',' expr1}
 exprs: expr1 {',' expr1}
 expr1: ternary | unary ('=' | ASG) expr1
 ternary: binary ['?' [expr] ':' (ternary | unary '=' expr1)]
-binary: unary | binary (BIN | CMP | '+' | '-' | '*' | '&' | '<' | '>') unary
+binary: unary | binary (BIN | CMP | '&&' | '+' | '-' | '*' | '&' | '<' | '>') unary
 unary: postfix | (INC | '&' | '*' | '+' | '-' | '!' | '~' | '&&') unary | 'sizeof' unary | 'sizeof' '(' typename ')' | '(' typename ')' unary
 postfix: primary | postfix '[' expr ']' | postfix '(' [exprs] ')' | postfix ('.' | '->') member | postfix INC | '(' typename ')' '{' [values [',']] '}'
 member: ID

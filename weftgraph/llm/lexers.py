@@ -300,6 +300,8 @@ class Python(Language):
             for x in t[1:]:
                 width = width + 1 if x == " " else (width // 8 + 1) * 8 if x == "\t" else 0
             return NL + chr(0x4000 + min(width, 5000))
+        if t[-1] in "\"'" and len(t) > 1 and t not in ('"""', "'''"):
+            return self.char["STR"]
         return super().classify(t)
 
     def other(self, t):
@@ -457,6 +459,9 @@ class JavaScript(Language):
         regex, end = re.compile(self.regex), len(text)
         while i < end:
             c = text[i]
+            if c in " \t\r\f\v":
+                i += 1
+                continue
             if c == "`":
                 i, t = self._template(text, i), self.char["TPL"]
             elif c == "/" and text[i + 1 : i + 2] not in ("/", "*") and prev not in value and (m := regex.match(text, i)):
