@@ -145,7 +145,9 @@ def bfs(edges: DataFrame, start: DataFrame, depth: int, target: str | None = Non
     Each level is one join of the frontier with the edges and one anti-join with what was visited, then written
     to the checkpoint folder, so the lineage stays one level long and a lost executor repeats one level only.
     """
-    links = undirected(edges).select("src", "dst").distinct().where("src <> dst")
+    links = undirected(edges).select("src", "dst").where("src <> dst")
+    if depth > 1:
+        links = materialize(links)  # read once per level, so not derived again from the tables
     frontier = materialize(start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
     visited, d = frontier, 0
     for d in range(1, depth + 1):
