@@ -19,7 +19,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the vocabulary's own tokenizer splits text by before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Ranges of the seeded hash per source. Only the range that the fractional share ends in is ordered.
-BUCKETS = 4096
+BUCKETS = 1024
 
 
 def source_key(c) -> F.Column:
