@@ -144,9 +144,10 @@ def test_leaks(spark):
         (5, " ".join([*w[3:9], "other", *w[10:17], "word", *w[18:25]])), (6, ask), (7, None), (8, ""), (9, p[5]), (10, " ".join(w[:8] + p[5].split()[:6] + w[8:16])),
         (11, " ".join(w[:10]) + "-\n".join([" " + w[10][:2], w[10][2:]]) + " " + " ".join(f"&#96;{x}&#96;" for x in w[11:21])), (3, p[1]),
     ]
+    docs += [(12, " ".join(f"[{x}](https://a.org/{k})" for k, x in enumerate(w[2:25]))), (13, " ".join(x[:1] + "\u00ad" + x[1:] for x in w[:21]))]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, item_id int")
     got = sorted({tuple(r) for r in leaks.leaks(d, it).collect()})
-    assert got == [(1, 0), (3, 1), (3, 9), (4, 0), (5, 0), (11, 0)]
+    assert got == [(1, 0), (3, 1), (3, 9), (4, 0), (5, 0), (11, 0), (12, 0), (13, 0)]
     assert leaks.leaks(d.limit(0), it).count() == 0 and leaks.leaks(d, it.limit(0)).count() == 0
     assert leaks.report(leaks.leaks(d, it), it).where("item_id = 9").first()["n_docs"] == 2
 

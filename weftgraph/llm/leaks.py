@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import ahocorasick
@@ -26,18 +27,24 @@ SHARED = 0.5
 BLOCK = 20_000
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_LINK = re.compile(r"\]\([^()\s]*\)|\]\[[^\[\]\s]*\]")
 _HYPHEN = re.compile(r"(?<=\w)[-­]\s*\n\s*(?=\w)")
 _WORDS = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words without markup: entities are read, tags dropped, words split over lines joined."""
+    """Lower-case words without markup: entities are read, tags and link targets dropped, words split over lines
+    joined, and characters written in compatible forms (ligatures, combining accents, full width) made equal."""
     if "&" in text:
         text = html.unescape(text)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    if "](" in text or "][" in text:
+        text = _LINK.sub("] ", text)
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "-\n" in text or "- \n" in text or "-\r" in text or "­" in text:
-        text = _HYPHEN.sub("", text)
+        text = _HYPHEN.sub("", text).replace("\u00ad", "")
     return _WORDS.findall(text.lower())
 
 
