@@ -73,10 +73,8 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def centrality(deg: DataFrame) -> DataFrame:
     """Adds degree_centrality = degree / highest degree (0 in a graph without edges)."""
-    top = deg.agg(F.max("degree").alias("_top"))
-    return deg.crossJoin(F.broadcast(top)).withColumn(  # one row
-        "degree_centrality", F.when(F.col("_top") > 0, F.col("degree") / F.col("_top")).otherwise(0.0)
-    ).drop("_top")
+    top = deg.agg(F.max("degree")).scalar()
+    return deg.withColumn("degree_centrality", F.when(top > 0, F.col("degree") / top).otherwise(0.0))
 
 
 def hubs(edges: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
@@ -109,9 +107,9 @@ def questions(hub_rows: DataFrame, nodes: DataFrame, k: int = 5) -> DataFrame:
 def stats(nodes: DataFrame, edges: DataFrame, manifest: DataFrame) -> DataFrame:
     """One row: node_count, edge_count, community_count, file_count."""
     n = nodes.agg(F.count("*").alias("node_count"), F.countDistinct("community").alias("community_count"))
-    e = edges.agg(F.count("*").alias("edge_count"))
-    f = manifest.agg(F.countDistinct(norm_path("file_path")).alias("file_count"))
-    return n.crossJoin(F.broadcast(e)).crossJoin(F.broadcast(f))  # one row each
+    e = edges.agg(F.count("*")).scalar()
+    f = manifest.agg(F.countDistinct(norm_path("file_path"))).scalar()
+    return n.select("*", e.alias("edge_count"), f.alias("file_count"))
 
 
 def terms(question: str) -> list[str]:
