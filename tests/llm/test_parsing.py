@@ -36,12 +36,12 @@ GOOD = {
     "A.java": [
         "", "package a.b; import static c.D.*; public class A<T extends B & C> extends D<T[]> implements E, F { private static final int[] X = {1, 2}; @Override public <U> List<Map<String, U>> f(final int a, String... b) throws G { for (int i = 0; i < 3; i++) ; for (var x : y) { } return a > 0 ? b : null; } }",
         "enum E { A(1) { int f() { return 1; } }, B; E() {} } interface I { default void f() {} int g(); } record R(int a) { } @interface J { int v() default 1; }",
-        "class A { void f() { Runnable r = () -> {}; x.map(a -> a + 1).map(B::new); int y = (int) z; Object o = new A() { }; try (X a = b; c) { } catch (D | E e) { } finally { } switch (a) { case 1 -> f(); default -> { } } int s = switch (q) { case A, B -> 1; default -> 2; }; if (o instanceof B b) { } label: while (true) break label; String t = \"\"\"\n x \"q\" \"\"\"; } static { } }",
+        "class A { void f() { Runnable r = () -> {}; x.map(a -> a + 1).map(B::new); int y = (int) z; Object o = new A() { }; try (X a = b; c) { } catch (D | E e) { } finally { } switch (a) { case 1 -> f(); default -> { } } int s = switch (q) { case A, B -> 1; default -> 2; }; if (o instanceof B b) { } label: while (true) break label; switch (o) { case B b when b.x > 1 -> f(); default -> {} } int when = 1; String t = \"\"\"\n x \"q\" \"\"\"; } static { } }",
     ],
     "a.rs": [
         "", "use a::{b::c, d as e, *};\n#[derive(Debug)]\npub struct S<'a, T: Clone + 'a> where T: Copy { pub a: &'a T, b: [u8; 4] }\nenum E { A, B(u8), C { x: i32 } = 3 }\nimpl<T> Tr for S<'_, T> { const X: u8 = 1; type Y = Vec<Vec<T>>; fn f(&mut self, a: i64) -> Result<(), Box<dyn Err + Send>> { Ok(()) } }",
         "fn f() { let (a, mut b) = (1, 2.0e3); let c: Vec<_> = x.iter().map(|y| y + 1).collect::<Vec<i32>>(); if let Some(z) = w && z > 1 { } match a { 1 | 2 => {}, 3..=5 if b => x(), E::C { x, .. } => { } _ => () } for i in 0..10 { } 'l: loop { break 'l } while let Some(_) = it.next() { } let s = S { a: 1, ..d }; println!(\"{}\", a); vec![1; 3]; return; }",
-        "macro_rules! m { ($x:expr) => { $x }; }\nunsafe extern \"C\" fn g(x: *const u8) {}\npub(crate) async fn h<const N: usize>(f: impl Fn(u8) -> u8) where { f(r#\"a\"b\"#.len() as u8).await?; }\ntrait Q: A + B { fn a(&self); fn b() {} }\nstatic mut X: &str = \"a\\\"\"; mod m { }",
+        "macro_rules! m { ($x:expr) => { $x }; }\nunsafe extern \"C\" fn g(x: *const u8) {}\npub(crate) async fn h<const N: usize>(f: impl Fn(u8) -> u8) where { f(r#\"a\"b\"#.len() as u8).await?; }\ntrait Q: A + B { fn a(&self); fn b() {} }\nstatic mut X: &str = \"a\\\"\"; mod m { } union U { a: u8 } /* a /* b */ c */ const Y: &str = r##\"a\"#b\"##;",
     ],
     "a.c": [
         "", "#include <a.h>\n#define X(a) \\\n  (a)\ntypedef struct s { int a : 3; union { float f; } u; } t;\nenum e { A = 1, B, };\nstatic const unsigned char d[] = { 0x1, 0x2, };\nint (*fp)(int, void *), *p = 0;\nint main(int argc, char **argv) { int a = (int)b * sizeof(t), c[3] = {[0] = 1}; if (a) { goto x; } else for (;;) break; do { a++; } while (a < 3); switch (a) { case 1: default: ; } x: return p->q.r[1] ? a : ~b; }",
@@ -50,7 +50,7 @@ GOOD = {
     "a.cpp": [
         "#include <v>\nnamespace a::b { template <typename T, int N = 3> class C : public D<T>, private E { public: C() : x(1), y{2} {} virtual ~C() = default; T f(const T &a) const override; C &operator=(const C &) = delete; int operator()(int a) { return a; } private: std::vector<std::vector<int>> x; static constexpr int z = 1; }; }",
         "using namespace std; template <class T> T C<T>::f(const T &a) const { for (auto &x : y) { } auto l = [&, this](int a) mutable -> int { return a; }; try { throw E(\"a\"); } catch (const E &e) { } int *p = new int[3]; delete[] p; return static_cast<int>(a) + (b >> 2); }",
-        "enum class E : int { A, B }; struct S { int a; S *n = nullptr; }; using V = std::map<int, S>; int main() { auto [a, b] = f(); if (int x = 1; x) { } std::cout << \"a\" << R\"(raw \")\"; return a < b && c > d; }",
+        "enum class E : int { A, B }; struct S { int a; S *n = nullptr; }; using V = std::map<int, S>; int main() { auto [a, b] = f(); if (int x = 1; x) { } std::cout << \"a\" << R\"(raw \")\" << R\"x(a)\" b)x\"; return a < b && c > d and not e or f; }",
     ],
 }
 BAD = {

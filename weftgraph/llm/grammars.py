@@ -279,7 +279,7 @@ JAVA = r"""
 file: [{annotation} 'package' dotted ';'] {import} {type}
 import: 'import' ['static'] dotted ['.' '*'] ';' | ';'
 dotted: name {'.' name}
-name: ID | 'record' | 'var' | 'yield' | 'sealed' | 'permits' | 'module' | 'open'
+name: ID | 'record' | 'yield' | 'sealed' | 'permits' | 'when'
 annotation: '@' dotted ['(' [annvalues] ')']
 annvalues: annvalue {',' annvalue} [',']
 annvalue: name '=' elementvalue | elementvalue
@@ -468,7 +468,7 @@ tree: TOKEN | '(' [trees] ')' | '[' [trees] ']' | '{' [trees] '}'
 trees: tree | trees tree
 item: {attr} [vis] plain | {attr} macro ';' | {attr} bracemacro
 vis: 'pub' ['(' ('crate' | 'self' | 'super' | 'in' path) ')']
-plain: 'use' usetree ';' | 'mod' ID (';' | '{' {inner} {item} '}') | func | struct | enum | 'union' ID [generics] [where] fields
+plain: 'use' usetree ';' | 'mod' ID (';' | '{' {inner} {item} '}') | func | struct | enum | ID ID [generics] [where] fields
   | ('const' | 'static' ['mut']) (ID | '_') ':' type ['=' expr] ';' | 'type' ID [generics] [':' bounds] [where] ['=' type] [where] ';'
   | ['unsafe'] 'impl' [generics] ['!'] type ['for' type] [where] '{' {inner} {item} '}'
   | ['unsafe'] 'trait' ID [generics] [':' [bounds]] [where] '{' {inner} {item} '}'
@@ -519,7 +519,7 @@ armhead: {attr} pattern ['if' cond] '=>'
 loop: 'loop' block | 'while' cond block | 'for' pattern 'in' expr block
 pattern: ['|'] pat {'|' pat}
 pat: ['-'] lit | ['ref'] ['mut'] ID ['@' pat] | '_' | '..' | rangeend RANGE [rangeend] | RANGE rangeend | '&' ['mut'] pat | '&&' pat | '(' [pattern {',' pattern} [',']] ')'
-  | '[' [pattern {',' pattern} [',']] ']' | path | path '(' [pattern {',' pattern} [',']] ')' | path '{' [fpat {',' fpat} [',']] '}' | macro | 'box' pat | rangeend '..'
+  | '[' [pattern {',' pattern} [',']] ']' | path | path '(' [pattern {',' pattern} [',']] ')' | path '{' [fpat {',' fpat} [',']] '}' | macro | rangeend '..'
 rangeend: ['-'] lit | path
 fpat: {attr} (['ref'] ['mut'] ID | (ID | NUM) ':' pattern | '..')
 lit: NUM | STR | CHR | 'true' | 'false'
@@ -529,7 +529,7 @@ closure: ['static'] ['async'] ['move'] ('||' | '|' [cparam {',' cparam} [',']] '
 cparam: {attr} pat [':' type]
 range: binary | [binary] ('..' | RANGE) [binary]
 binary: unary | binary (BIN | CMP | '+' | '-' | '*' | '&' | '&&' | '||' | '|' | '<' | '>' | '>' '>') unary | binary 'as' type | binary ('&&' | '||' | BIN | '+' | '-' | '*' | CMP) closure
-unary: postfix | ('-' | '!' | '*') unary | ('&' | '&&') ['mut' | 'raw' 'const' | 'raw' 'mut'] unary
+unary: postfix | ('-' | '!' | '*') unary | ('&' | '&&') ['mut'] unary
 postfix: primary | postfix '?' | postfix '.' (ID | NUM | 'await') | postfix '.' ID '::' targs '(' [exprs [',']] ')' | postfix '(' [exprs [',']] ')' | postfix '[' expr ']'
 exprs: aexpr {',' aexpr}
 aexpr: {attr} expr

@@ -138,52 +138,53 @@ class Java(Language):
     number = re.compile(r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|[\d_]*\.?[\d_]*(?:[eE][+-]?[\d_]+)?)[lLfFdD]?")
 
     def __init__(self):
-        hard = "goto const"
+        text_block, char = r'"""(?:[^"\\]|\\(?s:.)|"(?!""))*"""|""(?!")', r"'(?:[^'\\\n]|\\[^\n]{1,6}?)'"
         super().__init__(
-            "Java", G.JAVA, "file", rf'//[^\n]*|{_BLOCK}|"""(?:[^"\\]|\\(?s:.)|"(?!""))*"""|""(?!")|{_DQ}|\'(?:[^\'\\\n]|\\[^\n]{{1,6}}?)\'|[^\W\d][\w$]*|\$[\w$]*|{_NUMBER}',
+            "Java", G.JAVA, "file", rf"//[^\n]*|{_BLOCK}|{text_block}|{_DQ}|{char}|(?:[^\W\d]|\$)[\w$]*|{_NUMBER}",
             {
                 "BIN": "% == != <= && || ^ <<", "CMP": ">=", "ASG": "+= -= *= /= %= &= |= ^= <<=", "INC": "++ --",
                 "PRIM": "int long short byte char boolean float double void",
                 "MODIFIER": "public private protected native transient volatile strictfp",
             },
         )
-        self.lexer.update(dict.fromkeys(hard.split(), BAD))
-        if "'when'" in self.char:  # a word like any other outside patterns
-            self.lexer.update(when=self.char["ID"])
+        self.lexer.update(dict.fromkeys(("goto", "const"), BAD))  # reserved without a use
 
 
 class CFamily(Language):
     number = re.compile(r"(?:0[xX][\da-fA-F'.]+(?:[pP][+-]?\d+)?|0[bB][01']+|[\d']*\.?[\d']*(?:[eE][+-]?\d+)?)[uUlLfFzZ]{0,3}")
 
+    #: Other spellings of a word.
+    aliases = {
+        "__attribute__": "attribute", "__asm__": "asm", "__asm": "asm", "_Static_assert": "static_assert", "__typeof__": "typeof",
+        "_Generic": "generic", "consteval": "constexpr", "constinit": "constexpr", "and": "&&", "not": "!", "or": "||", "xor": "^", "bitand": "&", "bitor": "|",
+    }
+
     def __init__(self, cpp: bool):
-        self.cpp = cpp
-        prim = "void char short int long float double signed unsigned _Bool _Complex size_t_ __int128" + (" bool wchar_t char8_t char16_t char32_t" if cpp else " bool")
-        qual = "const volatile static register extern typedef restrict inline auto _Noreturn _Thread_local _Atomic __inline __restrict __extension__ __volatile__"
+        types = "void char short int long float double signed unsigned bool _Bool _Complex __int128"
+        qualifiers = "const volatile static register extern typedef inline restrict __inline __restrict __extension__ __volatile__"
         if cpp:
-            qual = "const volatile static register extern typedef __inline __restrict inline __extension__ __volatile__"
+            types += " wchar_t char8_t char16_t char32_t"
+        else:
+            qualifiers += " auto _Noreturn _Thread_local _Atomic"
         prefix = r"(?:u8|[uUL])?"
-        raw = r'(?:u8|[uUL])?R"([^()\s\\]{0,16})\((?s:.)*?\)\2"|' if cpp else ""
+        comment = rf"//(?:[^\n\\]|\\(?s:.))*|{_BLOCK}"
+        directive = rf"^[ \t]*#(?:[^\n\\/]|\\(?s:.)|/(?!\*)|{_BLOCK})*"
+        raw = rf'{prefix}R"\((?s:.)*?\)"|{prefix}R"[^()\s\\"]{{1,16}}\((?s:.)*?\)[^()\s\\"]{{1,16}}"|' if cpp else ""
+        char = rf"{prefix}'(?:[^'\\\n]|\\[^\n]{{1,10}}?)+'"
+        number = r"\d(?:[eEpP][+-](?=\d)|'(?=\w)|[\w.])*|\.\d(?:[eE][+-]|\w)*"
         super().__init__(
-            "C++" if cpp else "C", G.c_family(cpp), "unit",
-            rf"//(?:[^\n\\]|\\(?s:.))*|{_BLOCK}|^[ \t]*#(?:[^\n\\/]|\\(?s:.)|/(?!\*)|{_BLOCK})*|{raw.replace('([', '(?:[').replace(chr(92) + '2', '[^()]*')}{prefix}{_DQ}|{prefix}'(?:[^'\\\n]|\\[^\n]{{1,10}}?)+'|[^\W\d][\w$]*|\d(?:[eEpP][+-](?=\d)|'(?=\w)|[\w.])*|\.\d(?:[eE][+-]|\w)*",
+            "C++" if cpp else "C", G.c_family(cpp), "unit", rf"{comment}|{directive}|{raw}{prefix}{_DQ}|{char}|[^\W\d][\w$]*|{number}",
             {
-                "BIN": "/ % == != <= || | ^ <<" + (" .* ->*" if cpp else " && >>"), "CMP": ">=", "INC": "++ --",
-                "ASG": "+= -= *= /= %= &= |= ^= <<= >>=", "PRIM": prim, "QUAL": qual,
+                "BIN": "/ % == != <= || | ^ <<" + (" .* ->*" if cpp else " >>"), "CMP": ">=", "INC": "++ --",
+                "ASG": "+= -= *= /= %= &= |= ^= <<= >>=", "PRIM": types, "QUAL": qualifiers,
                 "CAST": "static_cast dynamic_cast const_cast reinterpret_cast",
             },
         )
-        alias = {"__attribute__": "attribute", "__asm__": "asm", "__asm": "asm", "_Static_assert": "static_assert", "__typeof__": "typeof", "_Generic": "generic", "consteval": "constexpr", "constinit": "constexpr"}
-        for a, b in alias.items():
-            if b in self.fixed:
-                self.fixed[a] = self.lexer[a] = self.fixed[b]
-        words = {"attribute": 1, "generic": 1}
-        for w in words:
-            self.fixed[w] = self.lexer[w] = self.char["ID"]
-        if cpp:
-            for a, b in {"and": "&&", "not": "!"}.items():
-                self.fixed[a] = self.lexer[a] = self.fixed[b]
-            for a in ("or", "xor", "bitand", "bitor"):
-                self.fixed[a] = self.lexer[a] = self.char["BIN"]
+        for word, same in self.aliases.items():
+            if same in self.fixed and (cpp or not word.isalpha()):
+                self.fixed[word] = self.lexer[word] = self.fixed[same]
+        for word in ("attribute", "generic"):  # only spelled with underscores are they special
+            self.fixed[word] = self.lexer[word] = self.char["ID"]
         self.directive = re.compile(r"[ \t]*#[ \t]*(?:(?:include|include_next|import)[ \t]*(?:<[^>\n]+>|\"[^\"\n]+\"|[A-Za-z_])|(?:define|undef|ifdef|ifndef)[ \t]+[A-Za-z_$]|(?:if|elif)\b|(?:else|endif|pragma|error|warning|line|elifdef|elifndef|embed)\b|(?:\d+\b)|$|/)")
         self.conditional = re.compile(r"^[ \t]*#[ \t]*(if|ifdef|ifndef|elif|elifdef|elifndef|else|endif)\b", re.M)
 
@@ -248,24 +249,21 @@ class Rust(Language):
     number = re.compile(r"(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|[\d][\d_]*(?:\.[\d][\d_]*)?\.?(?:[eE][+-]?[\d_]+)?)(?:_?[iu](?:8|16|32|64|128|size)|_?f(?:32|64))?")
 
     def __init__(self):
-        names = {
-            "BIN": "/ % == != <= ^ <<", "CMP": ">=", "ASG": "+= -= *= /= %= &= |= ^= <<=", "RANGE": "..= ...",
-        }
+        names = {"BIN": "/ % == != <= ^ <<", "CMP": ">=", "ASG": "+= -= *= /= %= &= |= ^= <<=", "RANGE": "..="}
         every = sorted(set(re.findall(r"'[^']+'", G.RUST)) - {"'('", "')'", "'['", "']'", "'{'", "'}'"})
         tokens = " | ".join([*every, "ID", "NUM", "STR", "CHR", "LIFE", "BIN", "CMP", "ASG", "RANGE", "'$'", "'@'", "'~'"])
+        nested = r"/\*(?:[^*]|\*(?!/))*\*/"
+        comment = rf"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|{nested})*\*/"
+        raw = "|".join(rf'(?:br|cr|r){h}"(?s:.)*?"{h}' for h in (r"\#\#\#", r"\#\#", r"\#"))
+        string = r'(?:b|c)?"(?:[^"\\]|\\(?s:.))*"|(?:br|cr|r)"[^"]*"'
+        char = r"b?'(?:[^'\\\n]|\\(?:u\{[0-9a-fA-F_]*\}|x[0-9a-fA-F]{2}|.))'"
+        number = r"\d(?:[eE][+-](?=\d)|\w|\.(?=\d)|\.(?![.\w]))*"
         super().__init__(
             "Rust", G.RUST.replace("tree: TOKEN", "tree: " + tokens), "file",
-            r"//[^\n]*|/\*(?:[^*/]|\*(?!/)|/(?!\*)|/\*(?:[^*]|\*(?!/))*\*/)*\*/"
-            r'|(?:b|c|br|cr|r)?"(?:[^"\\]|\\(?s:.))*"(?<!r")|(?:br|cr|r)(#+)"(?s:.)*?"\2|b?\'(?:[^\'\\\n]|\\(?:u\{[0-9a-fA-F_]*\}|x[0-9a-fA-F]{2}|.))\''
-            .replace(r'(#+)"(?s:.)*?"\2', r'###"(?s:.)*?"###|(?:br|cr|r)##"(?s:.)*?"##|(?:br|cr|r)#"(?s:.)*?"#')
-            .replace(r'(?<!r")', "")
-            + rf"|'{_WORD}|r\#{_WORD}|{_WORD}|\d(?:[eE][+-](?=\d)|\w|\.(?=\d)|\.(?![.\w]))*",
+            rf"{comment}|{raw}|{string}|{char}|'{_WORD}|r\#{_WORD}|{_WORD}|{number}",
             names,
         )
         self.lexer.update(dict.fromkeys(("abstract", "become", "final", "override", "priv", "typeof", "unsized", "virtual"), BAD))
-        for soft in ("macro_rules", "union", "box", "raw"):
-            if f"'{soft}'" in self.char and soft in ("box", "raw", "union"):
-                self.lexer[soft] = self.fixed[soft] = self.char["ID"]
 
     def classify(self, t):
         if t[-1] == '"' and len(t) > 1 or t[-1] == "#" and len(t) > 1:
