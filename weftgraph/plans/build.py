@@ -439,7 +439,19 @@ def html_groups_colors(spark, d):
     return export.group_colours(GP.nodes(spark, d))
 
 
-@R.query("report_lines")
+@R.query(
+    "report_lines",
+    f"""{GP.BASE}, {GP.D}, h AS (SELECT *, row_number() OVER (ORDER BY degree DESC, id) - 1 AS rk FROM d),
+  x AS (SELECT row_number() OVER (ORDER BY c.id) - 1 AS rk, a.label la, b.label lb, relation FROM c JOIN n a ON a.id = c.source JOIN n b ON b.id = c.target WHERE a.community <> b.community),
+  k AS (SELECT count(DISTINCT community) k FROM n),
+  s AS (SELECT unnest(['**Nodes:** ' || (SELECT count(*) FROM n), '**Edges:** ' || (SELECT count(*) FROM c), '**Communities:** ' || (SELECT k FROM k),
+    '**Files:** ' || (SELECT count(DISTINCT replace(file_path, {BS}, '/')) FROM file_manifest)]) line, unnest([0, 1, 2, 3]) pos)
+SELECT 0 AS section, pos, line FROM s
+UNION ALL SELECT 1, rk, '- **' || label || '** (' || degree || ' connections)' FROM h WHERE rk < 10
+UNION ALL SELECT 2, rk, '- **' || la || '** -> **' || lb || '** (' || relation || ')' FROM x WHERE rk < 20
+UNION ALL SELECT 3, rk, '- What role does ' || label || ' play, with its ' || degree || ' connections?' FROM h WHERE rk < 5
+UNION ALL SELECT 3, 5, '- How do the ' || k || ' communities relate to each other?' FROM k WHERE k > 1""",
+)
 def report_lines(spark, d):
     n, e = GP.graph(spark, d)
     hubs = G.hubs(e, n)
@@ -468,7 +480,7 @@ def run_log(spark, d):
 @R.query(
     "watch_debounce_sessions",
     """WITH g AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 3600000000 THEN 0 ELSE 1 END nw FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
-  s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts) AS session FROM g)
+  s AS (SELECT user_id, ts, sum(nw) OVER (PARTITION BY user_id ORDER BY ts)::BIGINT AS session FROM g)
 SELECT user_id, session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY 1, 2""",
 )
 def watch_debounce_sessions(spark, d):
