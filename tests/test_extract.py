@@ -69,6 +69,13 @@ def test_declarations(path, text, functions, classes):
     assert code.parse(text.replace("\n", "\r\n"), p.language).functions[0].line == p.functions[0].line
 
 
+def test_annotations_belong_to_the_declaration():
+    text = "/// doc\n[[nodiscard]]\ntemplate <class T>\nint f(T a) { return 1; }\n"
+    assert [(f.first, f.line) for f in code.parse(text, "cpp").functions] == [(2, 4)]
+    text = "/** doc */\n@A(x = 1)\n@B\npublic int f() { return 1; }\n"
+    assert [(f.first, f.line) for f in code.parse(text, "java").functions] == [(2, 4)]
+
+
 def test_rows_of_a_file():
     rows = list(rows_of("a/m.py", "import os\nclass G:\n    def greet(self):\n        # WHY: x\n        return helper(1)\n"))
     ids = {r[1] for r in rows if r[0] == "node"}

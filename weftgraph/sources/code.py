@@ -288,7 +288,7 @@ def parse(text: str, language: str) -> Parsed:
             colon = re.compile(r"[^:\n]*:").match(masked, after)
             doc = _docstring(text, language, colon.end()) if colon else None
         first = line(begin)
-        while first > 1 and re.match(r"\s*(?:@[\w.]+(?:\(.*\))?|#!?\[.*\]|\[\w+.*\]|template\s*<.*>|[A-Z_]+\(\w*\))\s*$", lines[first - 2]):
+        while first > 1 and re.match(r"\s*(?:@[\w.]+(?:\(.*\))?|#!?\[.*\]|\[\[?\w+.*\]|__attribute__\s*\(.*\)|template\s*<.*>|[A-Z_]+\(\w*\))\s*$", lines[first - 2]):
             first -= 1
         functions.append(Function(name, owner, n, first, line(max(begin, end - 1)), begin, end, params, doc))
     return Parsed(language, comments, functions, classes, masked)
