@@ -16,14 +16,20 @@ from ..sources.tables import small
 MAX_NUMBERS = 100_000
 
 
-def last_deliveries(df: DataFrame) -> DataFrame:
-    """Only rows of the last delivery of each snapshot number, with `step`, the rank of the number.
+def deliveries(df: DataFrame) -> DataFrame:
+    """(snapshot_no, last_delivered, step): the existing numbers with the instant of their last delivery and their rank.
 
-    The list of deliveries (a few rows per snapshot) is aggregated first; rows without a number are ignored.
+    A few rows per snapshot, from two columns of the table; a broadcast hint is set if they are few enough. Rows
+    without a number are ignored.
     """
-    numbers = df.where("snapshot_no is not null").groupBy("snapshot_no").agg(F.max("delivered_at").alias("_last"))
-    numbers = numbers.withColumn("step", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("snapshot_no")))
-    return df.join(small(numbers, MAX_NUMBERS), "snapshot_no").where(F.col("delivered_at").eqNullSafe(F.col("_last"))).drop("_last")
+    numbers = df.where("snapshot_no is not null").groupBy("snapshot_no").agg(F.max("delivered_at").alias("last_delivered"))
+    return small(numbers.withColumn("step", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("snapshot_no"))), MAX_NUMBERS)
+
+
+def last_deliveries(df: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """Only rows of the last delivery of each snapshot number, with `step`, the rank of the number."""
+    numbers = deliveries(df) if numbers is None else numbers
+    return df.join(numbers, "snapshot_no").where(F.col("delivered_at").eqNullSafe(F.col("last_delivered"))).drop("last_delivered")
 
 
 def pruned(df: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -42,14 +48,13 @@ def key_hash_index(df: DataFrame, key: Column, value: Column) -> DataFrame:
     return rows.groupBy("step", "snapshot_no", "record_key").agg(F.sum(F.xxhash64("_v", F.lit(7)).cast("decimal(38,0)")).alias("h"))
 
 
-def probe(index: DataFrame) -> DataFrame:
+def probe(index: DataFrame, numbers: DataFrame) -> DataFrame:
     """Changes between each snapshot and the one before: (snapshot_no, record_key, change).
 
     Each index row is probed by the next step: it is emitted once as the new side of its own step and once as
     the old side of the following step; one shuffle on (step, key) brings the two together. The first snapshot
-    has no predecessor and the last no successor.
+    has no predecessor and the last no successor. `numbers`: see `deliveries`.
     """
-    numbers = index.select("step", "snapshot_no").distinct()
     sides = F.explode(
         F.array(
             F.struct(F.col("step").alias("at"), F.col("h").alias("new"), F.lit(None).cast("decimal(38,0)").alias("old")),
@@ -66,7 +71,7 @@ def probe(index: DataFrame) -> DataFrame:
     return (
         both.withColumn("change", change)
         .where("change is not null and at > 1")
-        .join(small(numbers, MAX_NUMBERS), F.col("at") == F.col("step"))
+        .join(numbers.select("step", "snapshot_no"), F.col("at") == F.col("step"))
         .select("snapshot_no", "record_key", "change")
     )
 
@@ -77,7 +82,9 @@ def snapshot_changes(df: DataFrame, key: Column, value: Column) -> DataFrame:
     Absent numbers are skipped: a snapshot is compared with the existing one before it. Of deliveries of one
     number the last counts. Null keys are ignored; a table with one snapshot or none gives no rows.
     """
-    return probe(key_hash_index(last_deliveries(pruned(df, key, value)), F.col("record_key"), F.col("compared")))
+    rows = pruned(df, key, value)
+    numbers = deliveries(rows)
+    return probe(key_hash_index(last_deliveries(rows, numbers), F.col("record_key"), F.col("compared")), numbers)
 
 
 def changed_values(df: DataFrame, changes: DataFrame, key: Column, value: Column) -> DataFrame:
@@ -85,9 +92,10 @@ def changed_values(df: DataFrame, changes: DataFrame, key: Column, value: Column
 
     Values are fetched only for keys in `changes`, by an equi-join on step and key.
     """
-    rows = last_deliveries(pruned(df, key, value)).select("step", "snapshot_no", "record_key", F.col("compared").alias("v"))
-    steps = rows.select("step", "snapshot_no").distinct()
-    asked = changes.where("change = 'changed'").join(small(steps, MAX_NUMBERS), "snapshot_no").select("step", "snapshot_no", "record_key")
+    rows = pruned(df, key, value)
+    numbers = deliveries(rows)
+    rows = last_deliveries(rows, numbers).select("step", "snapshot_no", "record_key", F.col("compared").alias("v"))
+    asked = changes.where("change = 'changed'").join(numbers.select("step", "snapshot_no"), "snapshot_no").select("step", "snapshot_no", "record_key")
     new = asked.join(rows.drop("snapshot_no"), ["step", "record_key"]).groupBy("snapshot_no", "record_key").agg(F.max("v").alias("new_value"))
     old = (
         asked.withColumn("step", F.col("step") - 1)
