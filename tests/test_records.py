@@ -66,6 +66,20 @@ def test_log_takes_each_record_once_and_survives_failures(spark, tmp_path):
     assert sorted(r["seq"] for r in log.output().collect()) == [1, 2, 3, 5, 7, 8]
     assert log.processed() == [(1, 3), (5, 5), (7, 8)]
     assert log.pending(rows([1, 9]), "seq") == [(4, 4), (6, 6), (9, 9)]
+    far = inc.BLOCK
+    assert log.run(rows([far - 1, far, far + 1, 1]), "seq", lambda d: d) == 3  # across the border of a block
+    assert log.processed()[-1] == (far - 1, far + 1) and log.run(rows([far]), "seq", lambda d: d) == 0
+
+
+def test_log_refuses_nulls_and_takes_nothing_from_an_empty_table(spark, tmp_path):
+    log = inc.IncrementalLog(spark, f"file://{tmp_path}/log")
+    empty = spark.createDataFrame([], "seq long, block int")
+    assert log.run(empty, "seq", lambda d: d) == 0 and log.output() is None
+    try:
+        log.run(spark.createDataFrame([(None,)], "seq long"), "seq", lambda d: d)
+        raise AssertionError
+    except ValueError:
+        pass
 
 
 E_ = "id long, source string, target string, loaded_at timestamp, key string, reason string"

@@ -18,13 +18,18 @@ from ..functions.scalars import instant_ms, norm_path
 from . import intervals as iv
 
 
+#: Sequence numbers per block. Intervals are kept, merged and probed block by block, so no step sees all of them.
+BLOCK = 1 << 20
+
+
 class IncrementalLog:
     """Exactly-once runs over a table with a sequence-number column.
 
-    The folder holds `out/<n>` (Parquet output of commit n) and `commits/<n>.json` (merged intervals and the
-    outputs that count). A commit exists only once its file has been renamed into place; a run that fails
-    before leaves at most an output folder that no commit names, and the next run takes the same records again.
-    A record is identified by its number; numbers may arrive in any order. Null numbers are refused.
+    The folder holds `out/<n>` (output of commit n), `intervals/<n>` (the processed intervals after commit n:
+    block, lo, hi; disjoint and merged within each block) and `commits/<n>.json` (which of them count). A commit
+    exists only once its file has been renamed into place; a run that fails before leaves at most folders that no
+    commit names, and the next run takes the same records again. A record is identified by its number; numbers may
+    arrive in any order. Null numbers are refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -32,67 +37,69 @@ class IncrementalLog:
         jvm = spark._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        for d in ("out", "commits"):
+        for d in ("out", "intervals", "commits"):
             self._fs.mkdirs(self._path(f"{self.folder}/{d}"))
 
     def _numbers(self) -> list[int]:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.folder}/commits"))]
         return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
 
-    def _read(self, n: int) -> dict:
-        stream = self._fs.open(self._path(f"{self.folder}/commits/{n}.json"))
+    def state(self) -> dict:
+        """The newest commit: {"intervals": n, "outputs": [n, ...]}; intervals is 0 before the first."""
+        n = self._numbers()
+        if not n:
+            return {"intervals": 0, "outputs": []}
+        stream = self._fs.open(self._path(f"{self.folder}/commits/{n[-1]}.json"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def state(self) -> dict:
-        """The newest commit: {"intervals": [[lo, hi], ...], "outputs": [n, ...]}."""
-        n = self._numbers()
-        return self._read(n[-1]) if n else {"intervals": [], "outputs": []}
+    def intervals(self) -> DataFrame:
+        """(block, lo, hi) of all processed numbers."""
+        n = self.state()["intervals"]
+        if not n:
+            return self.spark.createDataFrame([], "block long, lo long, hi long")
+        return self.spark.read.parquet(f"{self.folder}/intervals/{n}")
 
     def processed(self) -> list[iv.Interval]:
-        return [(a, b) for a, b in self.state()["intervals"]]
+        """The processed intervals merged across blocks, for looking at logs whose intervals are few."""
+        return iv.merge((r["lo"], r["hi"]) for r in self.intervals().toLocalIterator())
 
     def pending(self, source: DataFrame, seq: str) -> list[iv.Interval]:
-        """Ranges of the source, up to its highest number, that no commit covers."""
+        """Ranges of the source, up to its highest number, that no commit covers; for looking, as `processed`."""
         lo, hi = source.agg(F.min(seq), F.max(seq)).first()
         return iv.subtract([] if lo is None else [(lo, hi)], self.processed())
 
     def run(self, source: DataFrame, seq: str, process: Callable[[DataFrame], DataFrame]) -> int:
-        """Process the records of the gaps and commit them with the output; the number of records taken.
+        """Process the records of the gaps and commit them with the output; the number of distinct numbers taken.
 
         Only numbers that were seen are committed, as runs of consecutive numbers, so that a record that
         arrives later with a number inside a hole is still taken by a later run.
         """
-        if source.where(F.col(seq).isNull()).limit(1).count():
+        if not source.where(F.col(seq).isNull()).isEmpty():
             raise ValueError(f"{seq} must not be null")
-        done = self.processed()
-        fresh = source
-        if done:
-            frame = self.spark.createDataFrame(done, "lo long, hi long")
-            seen = iv.within(source.select(seq).distinct(), F.col(seq), frame)
-            fresh = source.join(seen, seq, "left_anti")
+        done = self.intervals()
+        block = F.floor(F.col("s") / BLOCK).alias("block")
+        asked = source.select(F.col(seq).cast("long").alias("s")).distinct().select("s", block)
+        seen = asked.join(done, "block").where("s between lo and hi").select(F.col("s").alias(seq))
         n = (self._numbers() or [0])[-1] + 1
         target = f"{self.folder}/out/{n}"
-        fresh.write.mode("overwrite").parquet(f"{target}-input")  # fixes the records of this run
+        source.join(seen, seq, "left_anti").write.mode("overwrite").parquet(f"{target}-input")  # fixes the records of this run
         fresh = self.spark.read.parquet(f"{target}-input")
-        seqs = fresh.select(F.col(seq).cast("long").alias("s")).distinct()
-        near = W.partitionBy(F.floor(F.col("s") / 1_000_000)).orderBy("s")  # islands per block, joined below
+        seqs = fresh.select(F.col(seq).cast("long").alias("s")).distinct().select("s", block)
         runs = (
-            seqs.withColumn("g", F.col("s") - F.row_number().over(near))
-            .groupBy(F.floor(F.col("s") / 1_000_000).alias("b"), "g")
-            .agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.count("*").alias("n"))
-            .collect()
+            seqs.withColumn("g", F.col("s") - F.row_number().over(W.partitionBy("block").orderBy("s")))
+            .groupBy("block", "g")
+            .agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+            .drop("g")
         )
-        taken = sum(r["n"] for r in runs)
+        taken = seqs.count()
         if taken:
+            merged = iv.merge_intervals(done.unionByName(runs), "block")
+            merged.write.mode("overwrite").parquet(f"{self.folder}/intervals/{n}")
             process(fresh).write.mode("overwrite").parquet(target)
-            old = self.state()
-            self._commit(n, {
-                "intervals": iv.merge([*map(tuple, old["intervals"]), *((r["lo"], r["hi"]) for r in runs)]),
-                "outputs": [*old["outputs"], n],
-            })
+            self._commit(n, {"intervals": n, "outputs": [*self.state()["outputs"], n]})
         self._fs.delete(self._path(f"{target}-input"), True)
         return taken
 
