@@ -132,6 +132,18 @@ def test_matcher_against_brute_force():
         assert m.find(" ".join(doc)) == want
 
 
+def test_matcher_looks_at_every_window_of_a_diagonal():
+    item = [f"w{i}" for i in range(80)]
+    for changed in range(4, 9):  # words replaced among the first 20; the first piece and the last 60 words stay
+        doc = list(item)
+        for i in random.Random(changed).sample(range(4, 20), changed):
+            doc[i] = "zz"
+        assert leaks.Matcher({1: item}).find(" ".join(["before"] * 3 + doc)) == {1}, changed
+    far = item[:4] + ["zz"] * 40 + item[44:50] + ["zz"] * 8 + item[58:]  # hits that fail in between
+    assert leaks.Matcher({1: item}).find(" ".join(far)) == {1}
+    assert leaks.Matcher({1: item}).find(" ".join(item[:4] + ["zz"] * 4 + item[8:12] + ["zz"] * 4 + item[16:24])) == set()
+
+
 def test_leaks(spark):
     p = {i: sentences(30, i) for i in range(6)}
     ask = "Read the passage and answer the question that follows with as few words as you can please do not add anything else to it"

@@ -121,7 +121,9 @@ class Matcher:
         if len(ws) < WINDOW - BUDGET or self.empty:
             return found
         line = " " + " ".join(ws) + " "
-        tried: set[tuple[int, int]] = set()
+        #: (item, words that the text runs ahead of it) -> last of its windows that was verified there. A verdict on a
+        #: window holds for every piece of it on that diagonal; later pieces bring the windows behind the last one.
+        tried: dict[tuple[int, int], int] = {}
         before, spaces = 0, 0
         for end, (size, places) in self.a.iter(line):
             start = end - size + 1
@@ -132,16 +134,17 @@ class Matcher:
             before = start
             around = None
             for item, k, starts, near, need in places:
-                if item in found or (item, j - k) in tried:
+                last = tried.get((item, j - k), -1)
+                if item in found or last >= starts[-1]:
                     continue
-                tried.add((item, j - k))
+                tried[(item, j - k)] = starts[-1]
                 if around is None:
                     around = ws[max(0, j - WINDOW + PIECE - BUDGET) : j + WINDOW + BUDGET]
                     here = set(around)
                 if len(near & here) < need:
                     continue
                 w = self.items[item]
-                if any(distance(w[s : s + WINDOW], around, BUDGET) for s in starts):
+                if any(distance(w[s : s + WINDOW], around, BUDGET) for s in starts if s > last):
                     found.add(item)
         return found
 
