@@ -45,6 +45,23 @@ def test_bands_keep_every_repetitive_text():
             assert b.verdict(len(data), *b.ratios(data)) == "repetitive", (n, seed)
 
 
+@given(st.lists(st.sampled_from("abc"), min_size=5, max_size=60))
+def test_bound_never_misses(ws):
+    assert repetition.may_repeat(ws) or repetition.repeated(ws) < repetition.SHARE * len(ws)
+
+
+def test_repetitive_texts_of_dense_words(spark):
+    rng = random.Random(9)
+    rows, b = [], repetition.Bands()
+    for i, (n, letters) in enumerate([(20000, "abcdefghijklmnopqrstuvwxyz"), (2000, [chr(0x4E00 + x) for x in range(3000)])]):
+        base = ["".join(rng.choices(letters, k=rng.randint(2, 9))) for _ in range(n)]
+        text = " ".join(base + [w for k in rng.sample(range(n - 5), n // 11) for w in base[k : k + 5]])
+        rows.append((i, text))
+        assert b.verdict(len(text.encode()), *b.ratios(text.encode())) != "repetitive"
+    got = {r["doc_id"]: r["repeated_share"] for r in repetition.repetitive(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sorted(got) == [0, 1] and all(0.3 <= x < 0.4 for x in got.values()), got
+
+
 def test_repetitive_documents(spark):
     half = sentences(40)
     rows = [(1, half + " " + half), (2, half), (3, None), (4, ""), (5, "a b c d"), (6, "x " * 10), (7, half.upper() + " 12 - " + half), (7, half), (8, "é ü ß " * 9), (9, sentences(200_000) + " spam and ham and eggs" * 60_000)]

@@ -1,7 +1,9 @@
 """Repetition inside a single document.
 
-Compression bands: the words of a document are compressed with zstandard as a whole and in fixed chunks. Limits
-that depend on the length decide whether a document can be repetitive; those that can are measured exactly.
+Every document is measured exactly; a bound that cannot miss a case spares the others the count of their words.
+Compression bands label documents: their words are compressed with zstandard as a whole and in fixed chunks, and
+limits that depend on the length say whether a document looks repetitive. The limits are those of prose, so the
+label decides nothing: repeats in a denser text compress less.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ BANDS = ((200, 9.0), (400, 0.64), (700, 0.60), (1000, 0.56), (1500, 0.53), (2500
 CHUNK_LIMIT = 0.45
 #: Above this ratio a text of 200 bytes or more is incompressible (random characters, encoded data).
 INCOMPRESSIBLE = 0.9
-#: Distance in bytes over which repetition is found; documents longer than that are always measured.
+#: Distance in bytes over which repetition is found; documents longer than that are always labelled repetitive.
 WINDOW_LOG = 23
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -57,6 +59,14 @@ def repeated(ws: list[str]) -> int:
     return count
 
 
+def may_repeat(ws: list[str]) -> bool:
+    """False only if fewer than SHARE of the words can be repeated: a run that occurred before covers RUN words at
+    most. Equal hashes of unequal runs raise the bound, never lower it."""
+    runs = len(ws) - RUN + 1
+    distinct = len(set(map(hash, zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))))
+    return RUN * (runs - distinct) >= SHARE * len(ws)
+
+
 class Bands:
     def __init__(self):
         parameters = zstandard.ZstdCompressionParameters.from_level(3, window_log=WINDOW_LOG)
@@ -75,7 +85,7 @@ class Bands:
 
     @staticmethod
     def verdict(n: int, whole: float, low: float, high: float) -> str:
-        """`repetitive` (a candidate for the exact measure), `incompressible` or `normal`."""
+        """`repetitive` (compresses like prose of which SHARE is repeated), `incompressible` or `normal`."""
         limit = next(x for size, x in BANDS if n <= size)
         if whole <= limit or low <= CHUNK_LIMIT or n > 1 << WINDOW_LOG:
             return "repetitive"
@@ -116,19 +126,14 @@ def shares(docs: DataFrame) -> DataFrame:
 def repetitive(docs: DataFrame) -> DataFrame:
     """(doc_id, repeated_share) of documents with at least SHARE of their words repeated.
 
-    The bands pick the candidates, the exact measure decides. Null and empty texts and texts of fewer than RUN
+    Every text is measured exactly. Null and empty texts and texts of fewer than RUN
     words are no cases. A narrow map stage: nothing is shuffled, and one document is the unit of memory.
     """
 
     def make():
-        b = Bands()
-
         def one(doc_id, text):
             ws = words(text or "")
-            if len(ws) < RUN:
-                return
-            data = " ".join(ws).encode()
-            if b.verdict(len(data), *b.ratios(data)) == "repetitive":
+            if len(ws) >= RUN and may_repeat(ws):
                 n = repeated(ws)
                 if n >= SHARE * len(ws):
                     yield doc_id, n / len(ws)
