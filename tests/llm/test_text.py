@@ -293,6 +293,23 @@ def test_kinds(spark):
     assert handwritten.not_handwritten(c.limit(0), m).count() == 0
 
 
+def test_markers_below_a_licence():
+    licence = "Copyright 2020 The Authors\n" + "\n".join(f"Permission line {i} of the licence, which goes on" for i in range(50)) + "\nlimitations under the License.\n"
+
+    def kind(mark, path="r/a.go", body="package a\nfunc Run() {}\n", lines=licence):
+        text = "".join(f"// {x}\n" if x else "//\n" for x in (lines + mark).split("\n")) + body
+        return handwritten.kind_of(path, handwritten.measure(path, text, {}))[0]
+
+    assert kind("\nCode generated by protoc-gen-go. DO NOT EDIT.") == "generated"
+    assert kind("Code generated by protoc-gen-go. DO NOT EDIT.") == "generated"
+    assert kind("\nCopied from github.com/x/y") == "vendored"
+    assert kind("\nleft-pad v1.3.0") == "vendored"
+    assert kind("") is None and kind("\nThe tables of this package are\ngenerated by the tool of the same name") is None
+    assert kind("\nThe tests of this package need\nnumpy 1.20") is None
+    block = "/*\n * " + licence.strip().replace("\n", "\n * ") + "\n */\n\n/* Code generated by x. DO NOT EDIT. */\nint f(void) { return 1; }\n"
+    assert handwritten.kind_of("r/a.c", handwritten.measure("r/a.c", block, {}))[0] == "generated"
+
+
 def test_entropy_tells_mangled_names():
     counts = {}
     for w in ["index", "header", "load_table", "readRecord", "path", "open", "i", "result"] * 20:

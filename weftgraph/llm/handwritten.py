@@ -85,8 +85,8 @@ def mask(text: str, language: str) -> tuple[str, str, int]:
         code_seen = code_seen or bool(gap.strip())
         if m.lastgroup == "c":
             out.append(" ")
-            if not code_seen and len(header) < 40:
-                header.append(m[0])
+            if not code_seen:
+                header.append("\n" * (gap.count("\n") > 1 or m[0].startswith("/*")) + m[0])
         elif language == "python" and m[0].lstrip("rRuUbB")[:3] in ('"""', "'''") and not text[text.rfind("\n", 0, m.start()) + 1 : m.start()].strip():
             out.append('""')  # a string that stands for itself documents
             if not code_seen:
@@ -163,6 +163,10 @@ VENDORED = re.compile(
     r"|(?!since\b|version\b|as of\b|in\b|from\b|until\b|before\b|after\b|python\b|java\b|go\b)@?[\w./-]+(?: js)? v?\d+\.\d+(?:\.\d+)?[\w.-]*\s*(?:$|[|(,*-]|\s-\s))"
 )
 _TERMS = re.compile(r"(?i)licen[cs]e|\(c\)|copyright|upstream|released under|distributed under")
+_TAKEN = re.compile(r"(?i)(copied|vendored|taken|imported|adapted|borrowed|bundled|third)")
+#: Lines of a header that are read whatever stands before them; further down (below a licence) a line must begin a
+#: sentence, a bare name with its version a paragraph, since wrapped prose begins lines with any words.
+TOP = 6
 #: How functions of several words are usually written.
 USUAL_STYLE = {"python": "snake", "rust": "snake", "c": "snake", "go": "camel", "java": "camel", "javascript": "camel", "typescript": "camel"}
 #: Folders that hold packages of others; those of the second list only with a package name behind.
@@ -177,14 +181,18 @@ _DECLARED = re.compile(r"^[ \t]*(?:async +)?(?:def|class|func|fn|function|impl|i
 _NOT = {"if", "for", "while", "switch", "catch", "function", "return"}
 
 
-def header_lines(header: str) -> list[str]:
-    out = []
+def header_lines(header: str) -> list[tuple[str, bool, bool]]:
+    """Lines with letters, each with whether it begins a paragraph and whether it begins a sentence."""
+    out, before = [], ""
     for row in header.split("\n"):
         row = re.sub(r"^[\s/*#!;\"'<>-]*(?=[\w@(<])", lambda m: "<" if m[0].endswith("<") else "", row).strip()
         row = re.sub(r"\s*\*+/\s*$", "", row)
         if any(c.isalpha() for c in row):
-            out.append(row)
-    return out[:12]
+            out.append((row, not before, not before or before[-1] in ".!?:;>" or not row[0].islower()))
+            before = row
+        else:
+            before = ""
+    return out
 
 
 def style(name: str) -> str:
@@ -237,9 +245,11 @@ def kind_of(path: str, m: dict) -> tuple[str | None, float]:
     names and a generator's file name support a header and decide together.
     """
     header = m["header"]
-    first = header[:6]
-    says_generated = any(GENERATED.match(x) and not _HAND.search(x) for x in first)
-    vendored_line = next((x for x in first if VENDORED.match(x)), None)
+    says_generated = any(GENERATED.match(x) and not _HAND.search(x) for i, (x, _, sentence) in enumerate(header) if i < TOP or sentence)
+    taken = [
+        x for i, (x, paragraph, sentence) in enumerate(header)
+        if VENDORED.match(x) and not _HAND.search(x) and (i < TOP or (sentence if _TAKEN.match(x) else paragraph))
+    ]
     parts = path.split("/")[1:-1]
     lower = [p.lower() for p in parts]
 
@@ -258,8 +268,8 @@ def kind_of(path: str, m: dict) -> tuple[str | None, float]:
         generated += 0.5
 
     vendored = 0.0
-    if vendored_line and not _HAND.search(vendored_line):
-        vendored += 1.0 if _TERMS.search(" ".join(first)) or re.match(r"(?i)(copied|vendored|taken|imported|adapted|borrowed|bundled|third)", vendored_line) else 0.4
+    if taken:
+        vendored += 1.0 if any(map(_TAKEN.match, taken)) or any(_TERMS.search(x) for x, _, _ in header) else 0.4
     if any(p in PACKAGES for p in lower):
         vendored += 1.0
     for p, q in zip(lower, [*lower[1:], ""]):
