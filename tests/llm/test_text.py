@@ -227,6 +227,17 @@ def test_matching():
     assert docs_of("A.java", "class A {\n  /** Doc. */\n  @Override\n  public int f() { return 1; }\n  int g() { return 2; }\n}\n") == {"f": "Doc.", "g": None}
 
 
+def test_matching_over_annotations_of_several_lines():
+    java = 'class A {\n  /** Doc. */\n  @RequestMapping(\n    value = "/x)",\n    method = GET\n  )\n  @Deprecated\n  public int f() { return 1; }\n}\n'
+    assert docs_of("A.java", java) == {"f": "Doc."}
+    assert docs_of("a.rs", "/// Doc.\n#[cfg(\n    any(a,\n    b)\n)]\npub fn f() {}\n// Other.\nlet x = [\n1,\n];\nfn g() {}\n") == {"f": "Doc.", "g": None}
+    assert docs_of("a.cpp", "/// Doc.\ntemplate <\n  typename T,\n  typename U\n>\nint f(T a) { return 1; }\n") == {"f": "Doc."}
+    ts = "class A {\n  /** Doc. */\n  @Input({\n    a: 1,\n    b: 2,\n  })\n  f() { return 1; }\n}\n"
+    assert docs_of("a.ts", ts) == {"f": "Doc."}
+    assert docs_of("a.js", "/** Doc. */\n// eslint-disable-next-line no-x\nfunction f() {}\n") == {"f": "Doc."}
+    assert docs_of("a.js", "/** Doc. */\nrun(\n  1\n)\nfunction f() {}\n") == {"f": None}
+
+
 def test_assignment_is_optimal():
     r = random.Random(2)
     from itertools import permutations

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,6 +142,19 @@ def _blocks(comments: list[code.Comment]) -> list[tuple[int, int, str, int]]:
     return [(a, b, t, o) for a, b, t, _, o in out]
 
 
+def _without_remarks(comments: list[code.Comment], functions: list[code.Function]) -> tuple[list[code.Comment], list[code.Function]]:
+    """The candidates: remarks to tools between a function and what stands above it are no comments, and no distance."""
+    at = {c.last: c for c in comments if c.own_line}
+    dropped, out = set(), []
+    for f in functions:
+        first = f.first
+        while (c := at.get(first - 1)) and all(_TOOL.match(row) for row in strip_marks(c.text).split("\n")):
+            dropped.add(c.begin)
+            first = c.first
+        out.append(replace(f, first=first) if first < f.first else f)
+    return [c for c in comments if c.begin not in dropped], out
+
+
 def link_cost(block: tuple[int, int, str, int], f: code.Function) -> float | None:
     """Cost of a comment block as the documentation of f; None if it is out of reach."""
     gap = f.first - block[1] - 1
@@ -219,8 +233,9 @@ def pairs_of(path: str, text: str) -> Iterator[tuple[code.Function, str | None,
         return
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     p = code.parse(text, language)
-    blocks = [] if language == "python" else _blocks(p.comments)
-    linked = assign(blocks, p.functions) if blocks else {}
+    comments, functions = _without_remarks(p.comments, p.functions)
+    blocks = [] if language == "python" else _blocks(comments)
+    linked = assign(blocks, functions) if blocks else {}
     for i, f in enumerate(p.functions):
         doc = f.docstring
         if doc is None and i in linked:

@@ -195,6 +195,29 @@ def _docstring(text: str, language: str, body: int) -> str | None:
     return m[2] or m[4]
 
 
+_ANNOTATION = re.compile(r"\s*(?:@[\w.]+(?:\(.*\))?|#!?\[.*\]|\[\[?\w+.*\]|__attribute__\s*\(.*\)|template\s*<.*>|[A-Z_]+\(\w*\))\s*$")
+_ANNOTATION_HEAD = re.compile(r"\s*(?:@[\w.]+\s*\(|#!?\[|\[(?=\[?[A-Za-z_])|__attribute__\s*\(|[A-Z_]+\()")
+
+
+def _annotation(n: int, lines: list[str], masked: str, opens: dict[int, int], starts: list[int]) -> int | None:
+    """Line (from 0) on which the annotation begins that ends on line n, if one does; opens: closing -> opening bracket."""
+    if _ANNOTATION.match(lines[n]):
+        return n
+    end = starts[n] + len(masked[starts[n] : starts[n] + len(lines[n])].rstrip()) - 1
+    if end < starts[n]:
+        return None
+    if masked[end] in ")]" and end in opens:
+        at = bisect_right(starts, opens[end]) - 1
+        head = _ANNOTATION_HEAD.match(masked, starts[at])
+        return at if head and head.end() == opens[end] + 1 else None
+    if masked[end] == ">":
+        begin = masked.rfind("template", 0, end)
+        at = bisect_right(starts, begin) - 1
+        if begin >= 0 and re.fullmatch(r"template\s*<[^;{}]*>", masked[begin : end + 1]) and not masked[starts[at] : begin].strip():
+            return at
+    return None
+
+
 def parse(text: str, language: str) -> Parsed:
     """Comments, functions and classes of a text. Unbalanced code is read as far as its brackets match."""
     text = text.replace("\r\n", "\n").replace("\r", "\n")
@@ -212,6 +235,7 @@ def parse(text: str, language: str) -> Parsed:
         masked = re.sub(r"[\"']", " ", masked)
     classes, functions = [], []
     brackets = _Brackets(masked) if language not in ("python", "haskell") else None
+    opens = {b: a for a, b in brackets.match.items()} if brackets else {}
     lines = masked.split("\n")
     indented = language in ("python",)
 
@@ -288,8 +312,8 @@ def parse(text: str, language: str) -> Parsed:
             colon = re.compile(r"[^:\n]*:").match(masked, after)
             doc = _docstring(text, language, colon.end()) if colon else None
         first = line(begin)
-        while first > 1 and re.match(r"\s*(?:@[\w.]+(?:\(.*\))?|#!?\[.*\]|\[\[?\w+.*\]|__attribute__\s*\(.*\)|template\s*<.*>|[A-Z_]+\(\w*\))\s*$", lines[first - 2]):
-            first -= 1
+        while first > 1 and (above := _annotation(first - 2, lines, masked, opens, starts)) is not None:
+            first = above + 1
         functions.append(Function(name, owner, n, first, line(max(begin, end - 1)), begin, end, params, doc))
     return Parsed(language, comments, functions, classes, masked)
 
