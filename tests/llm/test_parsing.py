@@ -123,3 +123,23 @@ def test_files_and_rates(spark):
     assert [(r["file_path"], r["language"], r["error_line"]) for r in syntax.invalid_files(c, m).collect()] == [("r/b.py", "Python", 1)]
     assert sorted((r["language"], r["n_files"], r["n_invalid"], r["invalid_rate"]) for r in syntax.rates(c, m).collect()) == [("Go", 1, 0, 0.0), ("Python", 2, 1, 0.5), ("Rust", 1, 0, 0.0)]
     assert syntax.invalid_files(c.limit(0), m).count() == 0
+
+
+HEAD = "#ifdef A\nint f(void) {\n#else\nint f(int a) {\n#endif\n  return 0;\n}\n"
+
+
+@pytest.mark.parametrize(
+    "name, text, line",
+    [
+        ("a.c", HEAD + "#if B\nint x;\n#else\nint y = ;\n#endif\n", 11),
+        ("a.c", HEAD + "#if B\nint x;\n#elif C\n<<<<<<< HEAD\nint y;\n#else\nint z;\n#endif\n", 11),
+        ("a.cpp", HEAD + "#if B\nint x;\n#else\n#if C\nint y;\n#else\nint z = ;\n#endif\n#endif\nint w;\n", 14),
+        ("a.h", HEAD + "#if B\nint x;\n#else\nint y = ;\n#endif\n", 11),
+        ("a.c", HEAD + "#if B\nint x;\n#elif C\nint y;\n#else\nint z;\n#endif\n", None),
+        ("a.c", HEAD + "#if B\n#if C\nint x;\n#else\nint y;\n#endif\n#else\n#if D\nint z;\n#else\nint w;\n#endif\n#endif\n", None),
+        ("a.c", "int g(int a) {\n#ifdef A\n  if (a) {\n#elif defined(B)\n  while (a) {\n#else\n  a++;\n#endif\n  a--;\n#if defined(A)\n  }\n#endif\n#ifndef A\n#ifdef B\n  }\n#endif\n#endif\n  return a;\n}\n", None),
+        ("a.h", HEAD + "#ifdef __cplusplus\nclass K { public: int a; };\n#else\nint new;\n#endif\n", None),
+    ],
+)
+def test_every_branch_is_read(name, text, line):
+    assert lexers.for_path(name).check(text) == line

@@ -198,11 +198,15 @@ class CFamily(Language):
             return self.char["STR" if t[-1] == '"' else "CHR"]
         return super().classify(t)
 
-    def check(self, text):
-        bad = super().check(text)
+    def plain(self, text):
+        return super().check(text)
+
+    def check(self, text, plain=None):
+        plain = plain or self.plain
+        bad = plain(text)
         if "#" not in text:
             return bad
-        depth, branches, cuts, begin = 0, False, [], None
+        depth, branches = 0, False
         for m in self.conditional.finditer(text):
             k = m[1]
             if k.startswith("if"):
@@ -216,20 +220,107 @@ class CFamily(Language):
             return bad or text.count("\n") + 1
         if bad is None or not branches:
             return bad
-        stack = []  # keep only the first branch of every conditional
+        return self.selections(text, plain)
+
+    def selections(self, text, plain):
+        """The first error of a branch that parses in no selection of branches; the first branches go first."""
+        spans, up, keys, stack = [], [], [], []  # of each conditional: its branches, (conditional, branch) around it, conditions
+        end_of_line = re.compile(r"[^\n]*")
         for m in self.conditional.finditer(text):
-            k = m[1]
-            if k.startswith("if"):
-                stack.append(None)
-            elif k == "endif":
-                begin = stack.pop()
-                if begin is not None:
-                    cuts.append((begin, m.start()))
-            elif stack[-1] is None:
-                stack[-1] = m.start()
-        for a, b in sorted(cuts, reverse=True):
-            text = text[:a] + "\n" * text.count("\n", a, b) + text[b:]
-        return super().check(text)
+            if m[1].startswith("if"):
+                up.append((stack[-1], len(spans[stack[-1]]) - 1) if stack else None)
+                stack.append(len(spans))
+                spans.append([])
+                keys.append([])
+            else:
+                spans[stack[-1]][-1][1] = m.start()
+            if m[1] == "endif":
+                stack.pop()
+            else:
+                spans[stack[-1]].append([m.start(), 0])
+                keys[stack[-1]].append(self.condition(m[1], end_of_line.match(text, m.end())[0]))
+        every = range(len(spans))
+        last = [len(x) - (k[-1] is None) for x, k in zip(spans, keys)]  # the #else, or behind all branches the empty one
+        left = {(i, b) for i in every for b in range(len(spans[i]))}
+
+        def fails(choice, plain=plain):
+            cuts = sorted((a, b) for i in every for j, (a, b) in enumerate(spans[i]) if j != choice[i])
+            out, at = [], 0
+            for a, b in cuts:
+                if b > at:
+                    out += [text[at : max(a, at)], "\n" * text.count("\n", max(a, at), b)]
+                    at = b
+            bad = plain("".join(out) + text[at:])
+            if bad is None:
+                for i, b in list(left):
+                    x = (i, b)
+                    while x and choice[x[0]] == x[1]:
+                        x = up[x[0]]
+                    if not x:
+                        left.discard((i, b))
+            return bad
+
+        def around(x):
+            out = {}
+            while x:
+                out[x[0]] = x[1]
+                x = up[x[0]]
+            return out
+
+        def settle(some):
+            forced = {}
+            for x in some:
+                forced |= around(x)
+            bad = fails([forced.get(i, 0) for i in every])
+            if bad is None:
+                return None
+            if len(some) > 1:
+                half = len(some) // 2
+                return settle(some[:half]) or settle(some[half:])
+            b = some[0][1]
+            tries = [[forced.get(i, min(b, last[i])) for i in every]]
+            truth = {}  # conditions that hold or fail where the branch is read
+            for i, j in forced.items():
+                for k in keys[i][:j]:
+                    truth[k[0]] = not k[1]
+                if keys[i][j]:
+                    truth[keys[i][j][0]] = keys[i][j][1]
+            for unknown in (True, False):
+                holds = lambda k: k is None or (truth[k[0]] == k[1] if k[0] in truth else unknown)  # noqa: B023, E731
+                tries.append([forced.get(i, next((j for j, k in enumerate(keys[i]) if holds(k)), last[i])) for i in every])
+            if any(fails(t) is None for t in tries):
+                return None
+            if any(k and "__cplusplus" in k[0] for i in forced for k in keys[i]):  # text for the other language
+                other = language("C" if self.name == "C++" else "C++").plain
+                if any(fails(t, other) is None for t in tries):
+                    return None
+            return bad
+
+        bad = fails([0] * len(spans))
+        for r in range(1, max(map(len, spans))):
+            if bad is not None:
+                return bad
+            if left:
+                fails([min(r, x) for x in last])
+        while left and bad is None:
+            forced, some = {}, []
+            for x in sorted(left, key=lambda x: spans[x[0]][x[1]]):
+                if all(forced.get(i, b) == b for i, b in around(x).items()):
+                    forced |= around(x)
+                    some.append(x)
+            bad = settle(some)
+        return bad
+
+    @staticmethod
+    def condition(word, rest):
+        """(condition, whether it must hold) of a branch; None for #else."""
+        rest = re.sub(r"\s+", " ", re.sub(r"//.*|/\*.*?\*/", "", rest)).strip()
+        if word == "else":
+            return None
+        if word.endswith("def"):
+            return rest, not word.endswith("ndef")
+        m = re.fullmatch(r"(!?) ?defined ?\(? ?(\w+) ?\)?", rest)
+        return (m[2], not m[1]) if m else (rest, True)
 
 
 class CHeader:
@@ -240,9 +331,12 @@ class CHeader:
     def __init__(self, c: CFamily, cpp: CFamily):
         self.c, self.cpp = c, cpp
 
+    def plain(self, text):
+        bad = self.c.plain(text)
+        return bad and self.cpp.plain(text) and bad
+
     def check(self, text):
-        bad = self.c.check(text)
-        return bad and self.cpp.check(text) and bad
+        return self.c.check(text, self.plain)
 
 
 class Rust(Language):
