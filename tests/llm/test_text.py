@@ -321,6 +321,22 @@ def test_markers_below_a_licence():
     assert handwritten.kind_of("r/a.c", handwritten.measure("r/a.c", block, {}))[0] == "generated"
 
 
+def test_data_with_accessors_and_short_minified_files():
+    model = handwritten.Model(handwritten.Counter(g for w in ["value", "result", "length", "index", "window", "document"] * 500 for g in handwritten.grams(w)))
+
+    def kind(path, text):
+        return handwritten.kind_of(path, handwritten.measure(path, text, {"javascript": model}))[0]
+
+    table = "const T = [" + ", ".join(str(i * 7919) for i in range(2000)) + "];\n"
+    assert kind("r/t.js", table + "export function get() { return T; }\n") == "data"
+    assert kind("r/t.py", "class Blob:\n    data = '" + "ab12" * 2000 + "'\n    def get(self):\n        return self.data\n") == "data"
+    assert kind("r/t.js", "const T = [1, 2, 3, 4];\nexport function get(index) { return T[index]; }\n" * 20) is None
+    pages = "".join(f"function page{i}(value) {{ return '{'text ' * 100}' + value; }}\n" for i in range(9))
+    assert kind("r/t.js", pages) is None
+    assert kind("r/s.js", "!function(q,z){q.zx=z(kq);for(xj=0;xj<q;xj++)kq(zx,xj)}(qz,kx)") == "minified"
+    assert kind("r/s.js", "q(z)") is None and kind("r/s.js", "window.document(value,result,length,index)") is None
+
+
 def test_entropy_tells_mangled_names():
     counts = {}
     for w in ["index", "header", "load_table", "readRecord", "path", "open", "i", "result"] * 20:

@@ -163,6 +163,8 @@ VENDORED = re.compile(
     r"|(?!since\b|version\b|as of\b|in\b|from\b|until\b|before\b|after\b|python\b|java\b|go\b)@?[\w./-]+(?: js)? v?\d+\.\d+(?:\.\d+)?[\w.-]*\s*(?:$|[|(,*-]|\s-\s))"
 )
 _TERMS = re.compile(r"(?i)licen[cs]e|\(c\)|copyright|upstream|released under|distributed under")
+#: Characters of literals per function or declaration from which a file that is nine tenths literal is a table.
+PART = 1000
 _TAKEN = re.compile(r"(?i)(copied|vendored|taken|imported|adapted|borrowed|bundled|third)")
 #: Lines of a header that are read whatever stands before them; further down (below a licence) a line must begin a
 #: sentence, a bare name with its version a paragraph, since wrapped prose begins lines with any words.
@@ -195,6 +197,14 @@ def header_lines(header: str) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def sure_share(share: float, n: int) -> float:
+    """The share of mangled names; of fewer than 30 names the least that it is with near certainty (Wilson's bound)."""
+    if n >= 30:
+        return share
+    z = 3.0
+    return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def style(name: str) -> str:
     """snake, camel, pascal, upper or plain."""
     if "_" in name.strip("_"):
@@ -229,7 +239,7 @@ def measure(path: str, text: str, models: dict[str, Model]) -> dict:
         "diversity": len(leading) / len(functions) if functions else 1.0,
         "data": (inside + numbers) / body if body else 0.0,
         "body": body,
-        "declared": len(_DECLARED.findall(text)),
+        "declared": len(_DECLARED.findall(masked)),
         "long": long_share,
         "spaces": 1 - len(re.sub(r"\s", "", masked)) / max(1, len(masked)),
         "header": header_lines(header),
@@ -254,12 +264,13 @@ def kind_of(path: str, m: dict) -> tuple[str | None, float]:
     lower = [p.lower() for p in parts]
 
     data = 0.0
-    if m["body"] >= 400 and m["data"] >= 0.55 and m["functions"] == 0 and m["declared"] == 0:
+    code_parts = max(m["functions"], m["declared"])
+    if m["body"] >= 400 and m["data"] >= (0.9 if code_parts else 0.55) and m["data"] * m["body"] >= PART * code_parts:
         data = 1.0
 
     minified = 0.0
-    if m["names"] >= 30:
-        minified = 1.2 * min(1.0, m["mangled"] / 0.4) * (1.0 if m["long"] > 0.3 or m["spaces"] < 0.09 else 0.4)
+    if m["names"]:
+        minified = 1.2 * min(1.0, sure_share(m["mangled"], m["names"]) / 0.4) * (1.0 if m["long"] > 0.3 or m["spaces"] < 0.09 else 0.4)
         minified += 0.3 * bool(_MINIFIED_NAME.search(path))
         minified *= m["mangled"] > 0.2
 
