@@ -86,19 +86,58 @@ def gaps(available: DataFrame, processed: DataFrame) -> DataFrame:
     return merge_intervals(open_.where("a > 0 and p = 0 and hi is not null").select("lo", "hi"))
 
 
+#: Intervals up to this many are broadcast; more meet the rows by a shuffle.
+MAX_BROADCAST = 100_000
+#: Pieces of intervals in one bucket up to which a row is compared with each of them.
+CROWD = 64
+
+
+def _meet(df: DataFrame, seq: Column, intervals: DataFrame, how: str) -> DataFrame:
+    rows = df.withColumn("_seq", seq.cast("long")).where("_seq is not null")
+    real = intervals.where("lo <= hi").select("lo", "hi")
+    b = real.agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.count("*").alias("n")).first()
+    if not b["n"]:
+        return (rows if how == "left_anti" else rows.limit(0)).drop("_seq")
+    width = (b["last"] - b["first"]) // b["n"] + 1
+    top = b["last"] // width + 1  # beyond the last start there is one interval at most: one bucket for all of it
+    bucket = lambda c: F.least(F.floor(c / width), F.lit(top))
+    pieces = real.select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))).alias("_b"))
+    rows = rows.withColumn("_b", bucket(F.col("_seq")))
+    crowd = pieces.groupBy("_b").count().agg(F.max("count")).first()[0]
+    if crowd <= CROWD:
+        if b["n"] <= MAX_BROADCAST:
+            pieces = F.broadcast(pieces)  # at most two pieces an interval and two more
+        pieces = pieces.withColumnRenamed("_b", "_c")
+        return rows.join(pieces, (F.col("_b") == F.col("_c")) & F.col("_seq").between(F.col("_lo"), F.col("_hi")), how).drop("_b", "_seq")
+    hit = covered(rows.select("_b", "_seq").distinct(), "_b", "_seq", pieces.select("_b", "_lo", "_hi"))
+    return rows.join(hit.where("_in").select("_seq"), "_seq", how).drop("_b", "_seq")
+
+
+def covered(numbers: DataFrame, bucket: str, seq: str, pieces: DataFrame) -> DataFrame:
+    """numbers (bucket, seq; distinct) with `_in`: whether seq lies in an interval of its bucket.
+
+    pieces: (bucket, _lo, _hi), disjoint. Starts and numbers are sorted together per bucket and each number looks
+    back to the last start, so the work is that of a sort, however many intervals a bucket has.
+    """
+    starts = pieces.select(bucket, F.col("_lo").alias(seq), "_hi", F.lit(0).alias("_kind"))
+    both = starts.unionByName(numbers.select(bucket, seq, F.lit(None).cast("long").alias("_hi"), F.lit(1).alias("_kind")))
+    w = W.partitionBy(bucket).orderBy(seq, "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    hi = F.last("_hi", ignorenulls=True).over(w)
+    return both.withColumn("_in", F.coalesce(F.col(seq) <= hi, F.lit(False))).where("_kind = 1").select(bucket, seq, "_in")
+
+
 def within(df: DataFrame, seq: Column, intervals: DataFrame) -> DataFrame:
-    """Rows of df whose number `seq` lies in one of the disjoint `intervals`.
+    """Rows of df whose number `seq` lies in one of the disjoint `intervals`; rows with a null number are dropped.
 
-    A range join done as an equi-join: intervals are cut at the borders of buckets as wide as an average
-    interval, so each touches few buckets, and rows meet only the intervals of their own bucket. Rows with a
-    null number are dropped. Nothing is broadcast by hand; Spark may do so below its own size limit.
+    A range join done as an equi-join: intervals are cut at the borders of buckets as wide as the average distance
+    of their starts (all beyond the last start is one bucket, so an open end costs nothing), and rows meet only the
+    intervals of their own bucket. Where starts are crowded, distinct numbers and starts are sorted together
+    instead, so no bucket compares all of its rows with all of its intervals. Two small jobs over the intervals
+    choose the width and the way.
     """
-    b = intervals.agg(
-        F.greatest(F.lit(1), F.floor((F.max("hi") - F.min("lo")) / F.greatest(F.lit(1), F.count("*")))).alias("w")
-    ).first()
-    width = int(b["w"] or 1)
-    cut = intervals.select(
-        "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("_b")
-    ).select(F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "_b")
-    left = df.withColumn("_seq", seq.cast("long")).withColumn("_b", F.floor(F.col("_seq") / width))
-    return left.join(cut, "_b").where("_seq between _lo and _hi").drop("_b", "_lo", "_hi", "_seq")
+    return _meet(df, seq, intervals, "left_semi")
+
+
+def outside(df: DataFrame, seq: Column, intervals: DataFrame) -> DataFrame:
+    """Rows of df whose number lies in none of the disjoint `intervals`; rows with a null number are dropped."""
+    return _meet(df, seq, intervals, "left_anti")

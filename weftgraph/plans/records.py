@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..commits import scratch
 from ..functions.scalars import instant_ms
-from ..operators import incremental, intervals, orphans, snapshots
+from ..operators import incremental, orphans, snapshots
 from ..sources.tables import table
 from .registry import Registry
 
@@ -72,9 +73,21 @@ WHERE hi0 < b AND (SELECT min(lo0) FROM s WHERE lo0 > hi0) > hi0 + 1""",
 )
 def p2_open_gaps(spark, d):
     cache = table(spark, d, "extraction_cache", "extracted_at").select(instant_ms("extracted_at").alias("t"))
-    available = cache.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    done = incremental.processed_intervals(table(spark, d, "pipeline_runs", "id", "started_at", "status"))
-    return intervals.gaps(available, done)
+    return incremental.open_gaps(cache, table(spark, d, "pipeline_runs", "id", "started_at", "status"))
+
+
+@R.query(
+    "p2_edges_once",
+    """SELECT id AS edge_id, count(*) AS n, CASE WHEN min(day) <= 10 THEN 1 WHEN min(day) <= 20 THEN 2 ELSE 3 END AS run
+FROM (SELECT DISTINCT id, day(loaded_at) AS day FROM edges WHERE id IS NOT NULL) GROUP BY id""",
+)
+def p2_edges_once(spark, d):
+    """Three runs over a growing table: numbers arrive late, in holes and twice; each is taken by one run only."""
+    edges = table(spark, d, "edges", "id", "loaded_at").where("id is not null").select("id", F.dayofmonth("loaded_at").alias("day")).distinct()
+    log = incremental.IncrementalLog(spark, scratch(spark, "p2"))
+    for k, upto in enumerate((10, 20, 31), 1):
+        log.run(edges.where(F.coalesce("day", F.lit(31)) <= upto), "id", lambda taken, k=k: taken.groupBy(F.col("id").alias("edge_id")).agg(F.count("*").alias("n"), F.lit(k).alias("run")))
+    return log.output()
 
 
 _P3 = """
