@@ -43,3 +43,14 @@ def test_merge_by_key_and_empty(spark):
     none = spark.createDataFrame([], "lo long, hi long")
     assert iv.merge_intervals(none).count() == 0 and iv.gaps(none, none).count() == 0
     assert iv.within(spark.range(3), F.col("id"), none).count() == 0
+
+
+def test_within_and_outside_when_starts_are_crowded_or_the_end_is_open(spark):
+    crowded = [(2 * i, 2 * i) for i in range(300)] + [(10**12, 2**62)]
+    f = spark.createDataFrame(crowded, "lo long, hi long")
+    rows = spark.createDataFrame([(x,) for x in (-1, 0, 1, 2, 598, 599, 10**12 - 1, 10**12, 2**61, None, 2, 2)], "n long")
+    inside = [0, 2, 2, 2, 598, 10**12, 2**61]
+    assert sorted(r["n"] for r in iv.within(rows, F.col("n"), f).collect()) == inside
+    assert sorted(r["n"] for r in iv.outside(rows, F.col("n"), f).collect()) == [-1, 1, 599, 10**12 - 1]
+    few = f.where("lo < 10 or lo > 1000")
+    assert sorted(r["n"] for r in iv.within(rows, F.col("n"), few).collect()) == [0, 2, 2, 2, 10**12, 2**61]

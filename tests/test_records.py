@@ -148,11 +148,71 @@ def test_snapshots(spark):
     assert snap.snapshot_changes(df.where("snapshot_no = 1"), F.col("id"), F.col("label")).count() == 0
 
 
+def hashed(spark, xs):
+    return spark.createDataFrame(xs, "record_key string, label string").select("record_key", F.xxhash64("label").alias("v"))
+
+
 def test_snapshot_index(spark, tmp_path):
     index = snap.SnapshotIndex(spark, f"file://{tmp_path}/i", buckets=4)
     def take(xs):
-        df = spark.createDataFrame(xs, "id string, label string")
-        return sorted(map(tuple, index.advance(df, F.col("id"), F.col("label")).collect()))
+        return sorted(map(tuple, index.advance(hashed(spark, xs)).collect()))
     assert take([("a", "1"), ("b", "1")]) == [("a", "added"), ("b", "added")]
-    assert take([("a", "2"), ("c", "1"), ("c", "1")]) == [("a", "changed"), ("b", "removed"), ("c", "added")]
-    assert take([("a", "2"), ("c", "1")]) == []
+    assert take([("a", "2"), ("c", "1"), ("c", "1"), (None, "9")]) == [("a", "changed"), ("b", "removed"), ("c", "added")]
+    index = snap.SnapshotIndex(spark, f"file://{tmp_path}/i")  # another reader of the folder
+    assert take([("a", "2"), ("c", "1"), ("c", "2"), ("c", "3")]) == [("c", "changed")]
+    assert take([("a", "2"), ("c", "3"), ("c", "1"), ("c", "2")]) == []
+    assert take([("a", "2"), ("c", "1"), ("c", "4"), ("c", "3")]) == [("c", "changed")]  # the ends are the same or not: the set is another
+    assert len(list((tmp_path / "i" / "indexes").iterdir())) == 1  # replaced indexes are gone
+
+
+def test_snapshot_index_is_compared_without_a_shuffle(spark, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        index = snap.SnapshotIndex(spark, f"file://{tmp_path}/i", buckets=4)
+        a, b = (index._table(index.write(hashed(spark, [("a", x)]), f"t{x}", 4), 4) for x in "12")
+        plan = index.compare(a, b)._jdf.queryExecution().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_snapshot_index_has_one_winner(spark, tmp_path):
+    a, b = (snap.SnapshotIndex(spark, f"file://{tmp_path}/i", buckets=2) for _ in range(2))
+    a.advance(hashed(spark, [("a", "1")]))
+    real, b.folder.last = b.folder.last, lambda: (0, {})  # b looked before a had swapped
+    try:
+        b.advance(hashed(spark, [("b", "1")]))
+        raise AssertionError
+    except RuntimeError:
+        pass
+    b.folder.last = real
+    assert [r["record_key"] for r in b.current().collect()] == ["a"]
+
+
+def test_log_has_one_winner(spark, tmp_path):
+    first, second = (inc.IncrementalLog(spark, f"file://{tmp_path}/log") for _ in range(2))
+    rows = spark.createDataFrame([(1, "v"), (2, "v")], "seq long, s string")
+    def slow(taken):  # the other run commits while this one works
+        assert first.run(rows, "seq", lambda d: d.withColumn("by", F.lit("first"))) == 2
+        return taken.withColumn("by", F.lit("second"))
+    try:
+        second.run(rows, "seq", slow)
+        raise AssertionError
+    except RuntimeError:
+        pass
+    assert sorted(map(tuple, second.output().collect())) == [(1, "v", "first"), (2, "v", "first")]
+    assert len(list((tmp_path / "log" / "runs").iterdir())) == 1 and second.run(rows, "seq", lambda d: d) == 0
+
+
+def test_log_with_a_full_block_of_alternating_numbers(spark, tmp_path):
+    log = inc.IncrementalLog(spark, f"file://{tmp_path}/log")
+    n = 20_000
+    assert log.run(spark.range(0, n, 2).withColumnRenamed("id", "seq"), "seq", lambda d: d) == n // 2
+    assert log.run(spark.range(n).withColumnRenamed("id", "seq"), "seq", lambda d: d) == n // 2
+    assert log.processed() == [(0, n - 1)]
+
+
+def test_pending_when_the_last_run_is_completed(spark):
+    runs = [(1, "100", "completed"), (2, "200", "failed"), (3, "300", "completed")]
+    m = [("a", "1", "code", "1"), ("b", "1", "code", "1"), ("c", "1", "code", "1")]
+    assert pending(spark, m, [("a", "1", "150"), ("b", "1", "250"), ("c", "1", "99999999")], runs) == ["b"]

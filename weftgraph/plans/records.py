@@ -146,11 +146,8 @@ _COLUMNS = {
 
 
 def _both(make):
-    out = None
-    for t in ("node_snapshots", "edge_snapshots"):
-        one = make(t).withColumn("table_name", F.lit(t))
-        out = one if out is None else out.unionByName(one)
-    return out
+    a, b = snapshots.each(*[lambda t=t: make(t).withColumn("table_name", F.lit(t)) for t in _COLUMNS])
+    return a.unionByName(b)
 
 
 @R.query(
