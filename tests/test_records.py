@@ -1,3 +1,4 @@
+import random
 from datetime import datetime as T
 
 from pyspark.sql import functions as F
@@ -114,20 +115,38 @@ def test_orphans_hot_key_and_empty(spark):
     assert len(found(orp.orphans(*graph(spark, e[:1], [])))) == 2
 
 
-def test_orphans_incrementally(spark):
-    e1, n1 = graph(spark, [(1, "a", "b", D[2]), (2, "a", "c", D[9])], [("a", D[1], None)])
-    s = orp.advance(None, e1, n1)
-    assert found(s.pending) == [(1, "target", "missing"), (2, "target", "missing")]
-    e2, n2 = graph(spark, [(3, "c", "a", D[9])], [("b", D[1], None), ("c", D[5], None)])
-    s = orp.advance(s, e2, n2)
-    assert found(s.pending) == []
-    e3, n3 = graph(spark, [], [("a", D[1], D[10])])
-    s = orp.advance(s, e3, n3)
-    assert found(s.pending) == [(1, "source", "deleted"), (2, "source", "deleted"), (3, "target", "deleted")]
-    e4, n4 = graph(spark, [], [("a", D[12], None)])
-    s = orp.advance(s, e4, n4)
-    assert found(s.pending) == []
-    assert orp.counts(s.pending).count() == 0
+def test_orphans_incrementally(spark, tmp_path):
+    store = orp.OrphanStore(spark, f"file://{tmp_path}/o")
+    def batch(e, n):
+        return found(store.advance(*graph(spark, e, n)))
+    assert batch([(1, "a", "b", D[2]), (2, "a", "c", D[9])], [("a", D[1], None)]) == [(1, "target", "missing"), (2, "target", "missing")]
+    assert batch([(3, "c", "a", D[9])], [("b", D[1], None), ("c", D[5], None)]) == []
+    assert batch([], [("a", D[1], D[10])]) == [(1, "source", "deleted"), (2, "source", "deleted"), (3, "target", "deleted")]
+    store = orp.OrphanStore(spark, f"file://{tmp_path}/o")  # another driver goes on
+    assert batch([], [("a", D[12], None)]) == []
+    assert batch([], [("a", D[0], D[3])]) == []  # an old deleted row arrives late; the one of D[12] is live
+    assert batch([(1, "a", "b", D[2]), (1, "a", "b", D[2])], []) == [] and store.live().count() == 6  # delivered again
+    assert batch([], [("a", D[12], D[13])]) == [(1, "source", "deleted"), (2, "source", "deleted"), (3, "target", "deleted")]
+    assert sorted((r["batch"], r["n"]) for r in store.counts().groupBy("batch").agg(F.sum("n").alias("n")).collect()) == [(1, 2), (3, 3), (7, 3)]
+
+
+def test_orphans_in_batches_equal_those_of_one_go(spark):
+    r = random.Random(5)
+    def when(none):
+        return None if r.random() < none else T(2026, r.randint(1, 2), r.randint(1, 28))
+    n = [(r.choice("abcde"), when(0.1), when(0.5)) for _ in range(14)]
+    e = [(i, r.choice(" abcdefg"), r.choice("abcdefg"), when(0.1)) for i in range(40)]
+    e, n = graph(spark, e, n)
+    assert found(orp.fold_months(e, n).pending()) == found(orp.orphans(e, n)) != []
+
+
+def test_orphans_of_many_bad_and_hot_keys(spark, monkeypatch):
+    e = [(i, "a", "hot", D[1]) for i in range(30)] + [(100 + i, "cold", f"k{i}", D[1]) for i in range(3)]
+    e, n = graph(spark, e, [("a", D[0], None), ("k1", D[0], None), ("k2", D[3], None)])
+    want = found(orp.orphans(e, n))
+    monkeypatch.setattr(orp, "MAX_BROADCAST", 1)
+    monkeypatch.setattr(orp, "HOT", 20)
+    assert found(orp.orphans(e, n)) == want and len(want) == 35
 
 
 S_ = "snapshot_no int, delivered_at timestamp, id string, label string, step int, compared string"

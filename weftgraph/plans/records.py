@@ -111,6 +111,12 @@ def p3_found(spark, d):
     return orphans.orphans(*_edges_nodes(spark, d)).select("edge_id", "endpoint", "reason").distinct()
 
 
+@R.query("p3_folded", _P3 + "SELECT DISTINCT edge_id, endpoint, reason FROM o WHERE reason IS NOT NULL")
+def p3_folded(spark, d):
+    """As p3_found, from the stored state after one batch per month."""
+    return orphans.fold_months(*_edges_nodes(spark, d)).pending().select("edge_id", "endpoint", "reason").distinct()
+
+
 @R.query(
     "p3_orphans_by_month",
     _P3
