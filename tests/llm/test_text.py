@@ -181,6 +181,17 @@ def test_leaks(spark):
     assert leaks.report(leaks.leaks(d, it), it).where("item_id = 9").first()["n_docs"] == 2
 
 
+def test_passages_that_a_small_suite_shares_and_long_tags(spark):
+    ask, p = sentences(8, 50), sentences(24, 51)
+    it = spark.createDataFrame([(i, "s", f"{ask}\n\n{p}\n\nQuestion {i}?") for i in range(3)] + [(7, "t", p)], "item_id long, suite string, text string")
+    w = p.split()
+    tag, broken = "<a href='" + "x" * 250 + "'>", "<a\nhref='x'>"
+    docs = [(k, " ".join((t if i % 4 == 0 else "") + x for i, x in enumerate(w))) for k, t in enumerate(("<b>", tag, broken))]
+    docs += [(3, "if a <b then\n" + p + "\n and c > d"), (4, ask)]  # no tag, though it looks like one
+    got = sorted(map(tuple, leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), it).collect()))
+    assert got == [(d, i) for d in range(4) for i in (0, 1, 2, 7)]
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(leaks, "BLOCK", 2)
     it = spark.createDataFrame([(i, f"s{i}", sentences(25, i)) for i in range(5)], "item_id long, suite string, text string")
@@ -243,27 +254,34 @@ def test_assignment_is_optimal():
     from itertools import permutations
 
     for _ in range(200):
-        n = r.randint(1, 4)
-        blocks, functions, at = [], [], 1
-        for k in range(n):
-            at += r.randint(0, 2)
-            if r.random() < 0.7:
-                blocks.append((at, at, f"// about f{r.randrange(n)}", 0))
-                at += 1 + r.randint(0, 1)
-            functions.append(docpairs.code.Function(f"f{k}", "", at, at, at, 0, 0, []))
-            at += 1
-        got = docpairs.assign(blocks, functions)
+        n, k = r.randint(1, 4), r.randint(0, 4)
+        links = {i: own for i in range(n) if (own := {j: round(r.uniform(-1, 1), 2) for j in range(k) if r.random() < 0.6})}
+        got = docpairs.assign(links)
         assert len(set(got.values())) == len(got)
-        cost = lambda links: sum(docpairs.link_cost(blocks[j], functions[i]) for i, j in links.items()) + docpairs.REJECT * (n - len(links))
-        slots = list(range(len(blocks))) + [None] * n
+        cost = lambda chosen: sum(links[i][j] for i, j in chosen.items()) + docpairs.REJECT * (n - len(chosen))
+        slots = [*range(k), *[None] * n]
         best = min(
             cost({i: j for i, j in enumerate(p) if j is not None})
             for p in set(permutations(slots, n))
-            if all(j is None or ((c := docpairs.link_cost(blocks[j], functions[i])) is not None and c <= docpairs.REJECT) for i, j in enumerate(p))
+            if all(j is None or j in links.get(i, {}) for i, j in enumerate(p))
         )
         assert cost(got) == pytest.approx(best)
 
 
+def test_tags_and_names_decide_between_comments():
+    tags = "/**\n * Opens the file.\n * @param path where\n * @param mode how\n */\n"
+    assert docs_of("a.js", tags + "\nfunction open(path, mode) {}\n") == {"open": "Opens the file.\n@param path where\n@param mode how"}  # fits over a blank line
+    assert docs_of("a.js", tags + "\nfunction shut(handle) {}\n") == {"shut": None}
+    assert docs_of("a.js", "// Not about open().\n\nfunction open(path) {}\n") == {"open": None}  # a mention does not reach that far
+    stale = "/**\n * Stale words here.\n * @param socket gone\n */\n"
+    assert docs_of("a.js", tags + stale + "function open(path, mode) {}\n")["open"].startswith("Opens")  # tags overrule distance
+    assert docs_of("a.js", stale + "function open(path, mode) {}\n")["open"].startswith("Stale")  # the only one there is
+    other = "/**\n * Was moved to shut.\n * @param socket gone\n */\n"
+    assert docs_of("a.js", other + "function open(path, mode) {}\nfunction shut(path) {}\n") == {"open": None, "shut": None}  # near, but about another
+    assert docs_of("a.js", tags + "run();\nfunction open(path, mode) {}\n") == {"open": None}  # code in between
+    assert docs_of("a.py", "# Counts the open files.\n@cached\ndef count():\n    return 1\n\n# Section.\n\ndef g():\n    pass\n") == {"count": "Counts the open files.", "g": None}
+
+
 def test_pairs(spark):
     files = [("r/a.py", "def f(x):\n    '''Doubles what comes in.'''\n    return x\n\ndef g():\n    pass\n\nclass C:\n    def f(self):\n        '''Method of the class here.'''\n"), ("r/a.py", "def f(x):\n    '''Doubles what comes in.'''\n    return x\n"), ("r/n.py", None), (None, "x")]
     c = spark.createDataFrame([(*x, "z") for x in files[:1] + files[2:]] * 2, "file_path string, content string, name string")
@@ -272,7 +290,8 @@ def test_pairs(spark):
         ("b::h", "h()", "code", "r/gone.py", 1, "Closes every open handle."), ("b::i", "i()", "code", "r/gone.py", 1, "TODO"), ("b::j", "j()", "code", None, None, "Keeps the oldest entry."),
         ("a::C", "C", "code", "r/a.py", 8, "A class with words."), ("d::k", "k()", "document", "r/a.py", 1, "Some words in here."), (None, "l()", "code", "r/a.py", 1, "x y z"), ("m", None, "code", "r/a.py", 1, "x y z"),
     ]
-    n = spark.createDataFrame([(*x, "q") for x in nodes], "id string, label string, file_type string, source_file string, source_line int, docstring string, owner string")
+    layout = "id string, label string, file_type string, source_file string, source_line int, docstring string, owner string, loaded_at int"
+    n = spark.createDataFrame([(*x, "q", 1) for x in nodes], layout)
     assert sorted(r["node_id"] for r in docpairs.documented_ids(n, c).collect()) == ["a::C::f", "a::f", "b::h", "b::j"]
     p = {r["node_id"]: r for r in docpairs.pairs(n, c).collect()}
     assert set(p) == {"a::C::f", "a::f", "b::h", "b::j"} and p["a::f"]["doc"] == "Doubles what comes in." and p["a::f"]["code"].startswith("def f(x)")
@@ -280,6 +299,13 @@ def test_pairs(spark):
     assert docpairs.documented_ids(n.limit(0), c).count() == 0 and docpairs.documented_ids(n, c.limit(0)).count() == 2
 
 
+def test_rows_of_an_id_are_not_mixed(spark):
+    rows = [("a", "old()", "code", "r/old.py", 3, "Keeps the oldest entry of all.", 1), ("a", "new()", "code", "r/a.py", 9, " ", 2), ("b", "f()", "code", "z.py", 1, None, 1), ("b", "g()", "code", "a.py", 7, None, 2)]
+    n = spark.createDataFrame(rows, "id string, label string, file_type string, source_file string, source_line int, docstring string, loaded_at int")
+    got = {r["node_id"]: (r["file_path"], r["name"], r["source_line"]) for r in docpairs.function_nodes(n).collect()}
+    assert got == {"a": ("r/old.py", "old", 3), "b": ("a.py", "g", 7)}
+
+
 # written by hand ---------------------------------------------------------------------------------------------------
 
 def test_kinds(spark):
@@ -344,3 +370,20 @@ def test_entropy_tells_mangled_names():
             counts[g] = counts.get(g, 0) + 1
     m = handwritten.Model(counts)
     assert max(m.entropy(w) for w in ("load_header", "openTable", "path")) < handwritten.STRANGE < min(m.entropy(w) for w in ("q", "x7", "zk"))
+
+
+def test_templates_and_copies_without_headers_and_folders(spark):
+    """Kinds that only the models and the other repositories can tell: no header, no telling path."""
+    r = random.Random(4)
+    noun = lambda: "_".join(r.sample(["index", "header", "table", "record", "cache", "path"], 2))
+    verbs = ["load", "join", "walk", "score", "merge", "trace", "split", "verify", "decode", "publish"]
+    by_hand = lambda: "".join(f"def {v}_{noun()}(x):\n    return x\n" for v in r.sample(verbs, 5))
+    accessors = lambda: "".join(f"def {r.choice(['get', 'set', 'has'])}_{noun()}(x):\n    return x\n" for _ in range(6))
+    files = {f"r{i % 5}/src/a{i}.py": by_hand() for i in range(60)}
+    files |= {f"r{i % 5}/src/g{i}.py": accessors() for i in range(8)}
+    copy = by_hand() + by_hand()
+    files |= {f"r{i}/src/c.py": f"# note {i}\n" + copy for i in range(2)}
+    c = spark.createDataFrame([*files.items()], "file_path string, content string")
+    m = spark.createDataFrame([(p, "code", p[:2]) for p in files], "file_path string, file_type string, repo string")
+    got = {r["file_path"]: r["kind"] for r in handwritten.not_handwritten(c, m).collect()}
+    assert got == {f"r{i % 5}/src/g{i}.py": "generated" for i in range(8)} | {f"r{i}/src/c.py": "vendored" for i in range(2)}

@@ -1,9 +1,9 @@
 """Functions paired with their documentation.
 
 Candidate comments of a file are matched to its functions by bipartite assignment: the cost of a link grows with
-the lines between the two and with parameter tags that the function does not have, and falls when the comment
-names the function. Implausible links are rejected; what is left decides the documentation of functions whose
-record has none, and uninformative documentation is dropped.
+what stands between the two and with parameter tags that the function does not have, and falls with tags that it
+has and when the comment names the function. Implausible links are rejected; what is left decides the documentation
+of functions whose record has none, and uninformative documentation is dropped.
 """
 
 from __future__ import annotations
@@ -21,8 +21,15 @@ from .arrow import map_rows
 
 #: Cost of leaving a function without documentation; links that cost more are implausible.
 REJECT = 1.0
-#: Lines between a comment and a function up to which a link is considered at all.
+#: Blank lines and other comments between a comment and a function up to which a link is considered at all.
 REACH = 3
+#: Cost of the first blank line or comment in between, and of each further one. The first alone is implausible: a
+#: comment apart from the function belongs to it only if tags say so.
+APART, FURTHER = 1.2, 0.4
+#: Tags: all of them name parameters of the function; none does; none does and the text names another function.
+TAGS_FIT, TAGS_MISS, OTHERS = -0.9, 0.8, 0.4
+#: The text names the function.
+NAMED = -0.15
 
 _MARK_OPEN = re.compile(r"\A\s*(?:(?i:[rubf]{0,2})(?:\"\"\"|''')|/\*[*!]?|<!--|\{-\|?|--\[\[)")
 _MARK_CLOSE = re.compile(r"(?:\"\"\"|'''|\*+/|-->|-\}|\]\])\s*\Z")
@@ -30,6 +37,7 @@ _MARK_LINE = re.compile(r"^[ \t]*(?://[/!]*|#+!?(?!\[)|\*+(?!/)|--+\|?|;+)[ \t]?
 _QUOTED = re.compile(r"\A([\"'])(.*)\1\Z", re.S)
 _TAGS = re.compile(r"(?:[@\\]param(?:eter)?|:param(?:eter)?)\s+(?:\{[^}]*\}\s*)?(?:\w+\s+(?=\w+:))?\[?(\w+)")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
+_NAME = re.compile(r"[\w$]+")
 _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_a-zA-Z]+")
 
 #: Words of placeholders, of pointers to other places, of remarks to tools, and fillers beside a name.
@@ -117,7 +125,7 @@ def informative(text: str, name: str) -> bool:
     if not letters:
         return False
     for vocabulary in (PLACEHOLDER, POINTER):
-        if len(letters) <= 9 and all(w in vocabulary for w in letters):
+        if all(w in vocabulary for w in letters):
             return False
     own = {_stem(w) for w in name_words(name)}
     rest = [w for w in letters if w not in FILLER]
@@ -155,41 +163,53 @@ def _without_remarks(comments: list[code.Comment], functions: list[code.Function
     return [c for c in comments if c.begin not in dropped], out
 
 
-def link_cost(block: tuple[int, int, str, int], f: code.Function) -> float | None:
-    """Cost of a comment block as the documentation of f; None if it is out of reach."""
-    gap = f.first - block[1] - 1
-    if gap < 0 or gap > REACH:
-        return None
-    cost = 2.0 * gap
-    tags = set(_TAGS.findall(block[2]))
-    if tags and not tags & set(f.params):
-        cost += 0.5
-    elif tags:
-        cost -= 0.2
-    if re.search(rf"\b{re.escape(f.name)}\b", block[2]):
-        cost -= 0.3
+def link_cost(block: tuple[int, int, str, int], f: code.Function, between: int = 0, others: frozenset[str] = frozenset()) -> float:
+    """Cost of a comment block as the documentation of f with so many blank lines and comments between the two.
+
+    others: names of the functions of the file. Tags outweigh distance, and distance outweighs a mere mention.
+    """
+    cost = APART + FURTHER * (between - 1) if between else 0.0
+    text = block[2]
+    tags = set(_TAGS.findall(text)) if "param" in text else set()
+    if tags:
+        fit = len(tags & set(f.params)) / len(tags)
+        cost += TAGS_FIT * fit if fit else TAGS_MISS
+        if not fit and others and f.name not in text and others & set(_NAME.findall(text)):
+            cost += OTHERS
+    if f.name in text and re.search(rf"(?<![\w$]){re.escape(f.name)}(?![\w$])", text):
+        cost += NAMED
     return cost
 
 
-def assign(blocks: list[tuple[int, int, str, int]], functions: list[code.Function]) -> dict[int, int]:
+def candidates(blocks: list[tuple[int, int, str, int]], functions: list[code.Function], lines: list[str]) -> dict[int, dict[int, float]]:
+    """function index -> block index -> cost of the plausible links. Only blank lines and other comments may lie
+    between the two (lines: the masked lines of the file; annotations and remarks to tools belong to the function)."""
+    ends = {b[1]: j for j, b in enumerate(blocks)}
+    others = frozenset(f.name for f in functions)
+    links: dict[int, dict[int, float]] = {}
+    for i, f in enumerate(functions):
+        between, at = 0, f.first - 1  # the line above, from 1
+        while at > 0 and between <= REACH:
+            j = ends.get(at)
+            if j is not None:
+                cost = link_cost(blocks[j], f, between, others)
+                if cost <= REJECT:
+                    links.setdefault(i, {})[j] = cost
+                at = blocks[j][0] - 1
+            elif lines[at - 1].strip():
+                break
+            else:
+                at -= 1
+            between += 1
+    return links
+
+
+def assign(links: dict[int, dict[int, float]]) -> dict[int, int]:
     """function index -> block index of the cheapest matching; functions may stay single at the cost REJECT.
 
     Links form small components (a comment reaches few functions), each solved by shortest augmenting paths over
     its own links only.
     """
-    links: dict[int, dict[int, float]] = {}
-    order = sorted(range(len(functions)), key=lambda i: functions[i].first)
-    b = 0
-    for i in order:
-        f = functions[i]
-        while b < len(blocks) and blocks[b][1] < f.first - 1 - REACH:
-            b += 1
-        for j in range(b, len(blocks)):
-            if blocks[j][1] >= f.first:
-                break
-            c = link_cost(blocks[j], f)
-            if c is not None and c <= REJECT:
-                links.setdefault(i, {})[j] = c
     match: dict[int, int] = {}  # block -> function
     of: dict[int, int] = {}
     for i in links:  # augment along the path of least added cost (Bellman-Ford over alternating links)
@@ -234,8 +254,8 @@ def pairs_of(path: str, text: str) -> Iterator[tuple[code.Function, str | None,
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     p = code.parse(text, language)
     comments, functions = _without_remarks(p.comments, p.functions)
-    blocks = [] if language == "python" else _blocks(comments)
-    linked = assign(blocks, functions) if blocks else {}
+    blocks = _blocks(comments)
+    linked = assign(candidates(blocks, functions, p.masked.split("\n"))) if blocks else {}
     for i, f in enumerate(p.functions):
         doc = f.docstring
         if doc is None and i in linked:
@@ -246,27 +266,29 @@ def pairs_of(path: str, text: str) -> Iterator[tuple[code.Function, str | None,
 def function_nodes(nodes: DataFrame) -> DataFrame:
     """(node_id, file_path, name, owner, source_line, docstring): one row per id of a function or method.
 
-    Rows of an id that was loaded again are one: its greatest docstring that is not blank, its last known line.
+    Of the rows of an id that was loaded again one counts as a whole: the last one with a docstring that is not
+    blank, else the last one (ties: the greatest docstring, file, label and line).
     """
+    own = F.when(~blank("docstring"), F.col("docstring")).alias("docstring")
     n = nodes.where("file_type = 'code' and label like '%()' and id is not null").select(
-        F.col("id").alias("node_id"), norm_path("source_file").alias("file_path"),
-        F.expr("substring(label, 1, length(label) - 2)").alias("name"),
-        F.when(F.size(F.split("id", "::")) > 2, F.element_at(F.split("id", "::"), -2)).otherwise("").alias("owner"),
-        "source_line", F.when(~blank("docstring"), F.col("docstring")).alias("docstring"),
+        F.col("id").alias("node_id"),
+        F.struct(own.isNotNull().alias("has"), "loaded_at", own, norm_path("source_file").alias("file_path"), "label", "source_line").alias("x"),
     )
-    return n.groupBy("node_id").agg(
-        F.max("file_path").alias("file_path"), F.max("name").alias("name"), F.max("owner").alias("owner"),
-        F.max("source_line").alias("source_line"), F.max("docstring").alias("docstring"),
+    parts = F.split("node_id", "::")
+    return n.groupBy("node_id").agg(F.max("x").alias("x")).select(
+        "node_id", "x.file_path", F.expr("substring(x.label, 1, length(x.label) - 2)").alias("name"),
+        F.when(F.size(parts) > 2, F.element_at(parts, -2)).otherwise("").alias("owner"), "x.source_line", "x.docstring",
     )
 
 
 def _wanted(nodes: DataFrame, contents: DataFrame) -> DataFrame:
-    """(file_path, content, fns): each file once with the functions asked of it; functions without a file have a null content.
+    """(file_path, content, fns): each text of a file with the functions asked of it.
 
     The functions of a file are gathered under its path before the texts are joined, so that each text is moved
-    at most once; a file's functions are a bounded group, as the file itself is.
+    at most once; a file's functions are a bounded group, as the file itself is. Functions without a file are left out.
     """
-    asked = nodes.groupBy("file_path").agg(F.collect_list(F.struct("node_id", "name", "owner", "source_line", "docstring")).alias("fns"))
+    at_file = nodes.where("file_path <> ''")
+    asked = at_file.groupBy("file_path").agg(F.collect_list(F.struct("node_id", "name", "owner", "source_line", "docstring")).alias("fns"))
     text = (
         contents.select(norm_path("file_path").alias("file_path"), "content").where("file_path is not null and content is not null")
     )
@@ -308,9 +330,9 @@ def pairs(nodes: DataFrame, contents: DataFrame) -> DataFrame:
         return one
 
     schema = "node_id string, file_path string, doc string, code string, from_source boolean"
-    at_file = map_rows(_wanted(asked, contents), schema, make).groupBy("node_id").agg(
-        *[F.max(c).alias(c) for c in ("file_path", "doc", "code", "from_source")]
-    )
+    values = ("file_path", "doc", "code", "from_source")
+    at_file = map_rows(_wanted(asked, contents), schema, make).groupBy("node_id").agg(F.max(F.struct(*values)).alias("x"))
+    at_file = at_file.select("node_id", *[f"x.{c}" for c in values])  # of texts delivered twice one counts as a whole
     rest = documented.join(at_file.select("node_id"), "node_id", "left_anti").select(
         "node_id", "file_path", "doc", F.lit(None).cast("string").alias("code"), F.lit(False).alias("from_source")
     )

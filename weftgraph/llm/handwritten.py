@@ -1,10 +1,11 @@
 """Generated, minified or vendored source files, and data saved as code.
 
-Character n-gram models of identifiers are trained per language on all code files. Each file is then measured:
-the cross-entropy of its identifiers (mangled names are short and unlike the language's names), the diversity of
-the leading words of its functions (templates repeat a few), its naming style against that of its language, how
-much of it is literal data, what its header says about itself, and where it lies. Measures become evidence for
-one of four kinds; a copy of a file that is known to be third-party is third-party too.
+Two models are trained per language on all code files: character n-grams of identifiers, and how often the leading
+word of a function's name comes again within a file. Each file is then measured: the cross-entropy of its
+identifiers (mangled names are short and unlike the language's names), the share of functions whose leading words are
+those of templates, its naming style against that of its language, how much of it is literal data, what its header
+says about itself, and where it lies. Measures become evidence for one of four kinds; code that several repositories
+hold, or that equals a file known to be third-party, is third-party too.
 """
 
 from __future__ import annotations
@@ -26,8 +27,13 @@ from . import lexers
 from .arrow import map_rows
 
 ORDER = 3  # characters of an n-gram
-#: n-grams of a language that are kept in the model (the most frequent ones; the rest share the unseen mass).
-MODEL_SIZE = 30_000
+#: A leading word is one of templates if files that have it have it this many times on average, if at least so many
+#: files have it, and not more than this share of the files of its language (else it is how the language names things).
+REPEATS, TEMPLATE_FILES, COMMON = 1.35, 5, 0.2
+#: Share of functions with such a word from which a file is the output of a template.
+TEMPLATED = 0.8
+#: Repositories with the same code from which it is a copy.
+COPIES = 2
 #: Bits per n-gram above which a name is unlike the names of its language.
 STRANGE = 3.6
 #: Distinct identifiers a task counts before it hands its n-gram counts on.
@@ -44,18 +50,24 @@ _KEYWORDS = frozenset(
 _LEADING = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+_DIGITS, _FOREIGN = re.compile(r"\d+"), re.compile(r"[^\x00-\x7f]")
+
+
 def grams(name: str) -> Iterator[str]:
-    """n-grams of a name in lower case with its borders marked; runs of digits count as one sign."""
-    name = "^" + re.sub(r"\d+", "0", name.lower()) + "$"
+    """n-grams of a name in lower case with its borders marked. Runs of digits count as one sign and letters beyond
+    ASCII as another, so there are 31 signs, and a language has fewer than 31**3 n-grams however much is read."""
+    name = _DIGITS.sub("0", name.lower())
+    name = "^" + (name if name.isascii() else _FOREIGN.sub("\x7f", name)) + "$"
     for i in range(len(name) - ORDER + 1):
         yield name[i : i + ORDER]
 
 
 class Model:
-    """Bits per n-gram of the names of one language, smoothed: an unseen n-gram has a tenth of one occurrence."""
+    """Bits per n-gram of the names of one language, smoothed: an unseen n-gram has a tenth of one occurrence; and the
+    leading words of its templates."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
+    def __init__(self, counts: dict[str, int], templates: frozenset[str] = frozenset()):
+        self.counts, self.templates = counts, templates
         self.prefix: Counter = Counter()
         for g, n in counts.items():
             self.prefix[g[:-1]] += n
@@ -101,23 +113,33 @@ def mask(text: str, language: str) -> tuple[str, str, int]:
     return "".join(out), "\n".join(header), inside
 
 
-def readable_names(text: str, language: str) -> set[str]:
-    """Names of a file that has line breaks as a person sets them; dense text would teach the model mangled names."""
-    if sum(len(x) for x in text.split("\n") if len(x) > 300) > 0.3 * len(text):
-        return set()
-    return set(identifiers(mask(text, language)[0]))
+def dense(text: str) -> bool:
+    """Whether a text lacks the line breaks that a person sets; it would teach the models mangled names."""
+    return sum(len(x) for x in text.split("\n") if len(x) > 300) > 0.3 * len(text)
+
+
+def function_names(masked: str) -> list[str]:
+    return [n for a, b in _FUNCTION.findall(masked) if (n := a or b) not in _NOT]
+
+
+def leading_words(functions: list[str]) -> Counter:
+    """How often each leading word of at least two letters begins a function's name."""
+    return Counter(w for n in functions if (x := _LEADING.findall(n)) and len(w := x[0].lower()) > 1)
 
 
 def train(contents: DataFrame) -> dict[str, Model]:
-    """language -> model over the identifiers of all its files.
+    """language -> model over all its files.
 
-    Tasks count names first and n-grams second, so that a few thousand rows per task are shuffled; a language has
-    at most MODEL_SIZE n-grams on the driver. An identifier counts once per file, so that minified or repetitive
-    files have no more say than others.
+    Tasks count names first and n-grams second, so that a few thousand rows per task are shuffled. n-grams are
+    bounded by their signs (see `grams`). An identifier counts once per file, so that repetitive files have no more
+    say than others. Of the leading words only those of templates reach the driver: words that come again and again
+    in few files are a small part of any language's words.
     """
 
     def stage(batches):
         names: Counter = Counter()
+        words: Counter = Counter()
+        files: Counter = Counter()
 
         def flush():
             counts: Counter = Counter()
@@ -125,29 +147,44 @@ def train(contents: DataFrame) -> dict[str, Model]:
                 for g in grams(name):
                     counts[(language, g)] += n
             names.clear()
-            if counts:
-                keys = list(counts)
+            rows = [(*k, n, 0) for k, n in counts.items()] + [(*k, n, files[k]) for k, n in words.items()]
+            words.clear()
+            files.clear()
+            if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([counts[k] for k in keys], pa.int64())],
-                    names=["language", "gram", "n"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["language", "item", "n", "files"]
                 )
 
         for batch in batches:
             for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 language = code.language_of(path)
-                names.update((language, w) for w in readable_names(text, language))
-            if len(names) > FLUSH:
+                words[(language, "/")] += 1
+                files[(language, "/")] += 1
+                if not dense(text):
+                    masked = mask(text, language)[0]
+                    names.update((language, w) for w in set(identifiers(masked)))
+                    for w, n in leading_words(function_names(masked)).items():
+                        words[(language, f"/{w}")] += n  # no n-gram has a slash
+                        files[(language, f"/{w}")] += 1
+            if len(names) + len(words) > FLUSH:
                 yield from flush()
         yield from flush()
 
-    counts = contents.mapInArrow(stage, "language string, gram string, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window as W
-
-    ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("language").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= MODEL_SIZE)
+    counts = contents.mapInArrow(stage, "language string, item string, n long, files long").groupBy("language", "item").agg(F.sum("n").alias("n"), F.sum("files").alias("files"))
+    template = (F.col("n") >= REPEATS * F.col("files")) & (F.col("files") >= TEMPLATE_FILES)
+    rows = counts.where(~F.startswith("item", F.lit("/")) | (F.col("item") == "/") | template).toLocalIterator()
     by: dict[str, dict[str, int]] = {}
-    for r in ranked.select("language", "gram", "n").toLocalIterator():
-        by.setdefault(r["language"], {})[r["gram"]] = r["n"]
-    return {k: Model(v) for k, v in by.items()}
+    words: dict[str, dict[str, int]] = {}
+    for r in rows:
+        if r["item"][0] == "/":
+            words.setdefault(r["language"], {})[r["item"][1:]] = r["files"]
+        else:
+            by.setdefault(r["language"], {})[r["item"]] = r["n"]
+    out = {}
+    for k in words:
+        every = words[k].pop("")
+        out[k] = Model(by.get(k, {}), frozenset(w for w, n in words[k].items() if n <= max(COMMON * every, TEMPLATE_FILES)))
+    return out
 
 
 #: How a header says that its own file is the output of a tool. It must begin with these words.
@@ -198,9 +235,7 @@ def header_lines(header: str) -> list[tuple[str, bool, bool]]:
 
 
 def sure_share(share: float, n: int) -> float:
-    """The share of mangled names; of fewer than 30 names the least that it is with near certainty (Wilson's bound)."""
-    if n >= 30:
-        return share
+    """The least that a share among n names is with near certainty (Wilson's bound)."""
     z = 3.0
     return (share + z * z / (2 * n) - z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
@@ -223,8 +258,8 @@ def measure(path: str, text: str, models: dict[str, Model]) -> dict:
     distinct = set(names)
     body = len(re.sub(r"\s+", "", masked)) + inside
     numbers = sum(len(x) + 1 for x in _NUMBER.findall(masked))
-    functions = [n for a, b in _FUNCTION.findall(masked) if (n := a or b) not in _NOT]
-    leading = Counter(w[0].lower() for n in functions if (w := _LEADING.findall(n)))
+    functions = function_names(masked)
+    leading = leading_words(functions)
     lines = text.split("\n")
     long_share = sum(len(x) for x in lines if len(x) > 500) / max(1, len(text))
     bits = {n: model.entropy(n) for n in distinct} if model else {}
@@ -236,7 +271,8 @@ def measure(path: str, text: str, models: dict[str, Model]) -> dict:
         "mangled": strange / len(names) if names else 0.0,
         "names": len(names),
         "functions": len(functions),
-        "diversity": len(leading) / len(functions) if functions else 1.0,
+        "diversity": len(leading) / leading.total() if leading else 1.0,
+        "templated": sum(n for w, n in leading.items() if w in model.templates) / len(functions) if model and functions else 0.0,
         "data": (inside + numbers) / body if body else 0.0,
         "body": body,
         "declared": len(_DECLARED.findall(masked)),
@@ -251,8 +287,8 @@ def measure(path: str, text: str, models: dict[str, Model]) -> dict:
 def kind_of(path: str, m: dict) -> tuple[str | None, float]:
     """(generated | minified | vendored | data, weight of the evidence), or (None, weight) for a file written here.
 
-    Evidence of at least 1 decides. Mangled names alone decide together with dense text; low diversity of function
-    names and a generator's file name support a header and decide together.
+    Evidence of at least 1 decides. Mangled names in dense text decide, and so do functions that are named after a
+    template; a header that calls the file generated decides too, a generator's file name supports.
     """
     header = m["header"]
     says_generated = any(GENERATED.match(x) and not _HAND.search(x) for i, (x, _, sentence) in enumerate(header) if i < TOP or sentence)
@@ -275,8 +311,8 @@ def kind_of(path: str, m: dict) -> tuple[str | None, float]:
         minified *= m["mangled"] > 0.2
 
     generated = 1.0 * says_generated + 0.5 * bool(_GENERATED_NAME.search(path))
-    if m["functions"] >= 6 and m["diversity"] <= 0.5:
-        generated += 0.5
+    if m["templated"] >= TEMPLATED and m["functions"] > 1:
+        generated += 1.0
 
     vendored = 0.0
     if taken:
@@ -301,12 +337,12 @@ _KNOWN = "(?i)\\.(" + "|".join(lexers.EXTENSIONS) + ")$"
 
 
 def measured(contents: DataFrame) -> DataFrame:
-    """(file_path, kind, weight, entropy, mangled, diversity, data_share, print) of every code file with a text."""
+    """(file_path, kind, weight, entropy, mangled, diversity, templated, data_share, print) of every code file with a text."""
     spark = contents.sparkSession
     files = contents.select(norm_path("file_path").alias("file_path"), "content").where(
         F.col("file_path").rlike(_KNOWN) & F.col("content").isNotNull()
     )
-    models = spark.sparkContext.broadcast(train(files))  # at most MODEL_SIZE n-grams per language
+    models = spark.sparkContext.broadcast(train(files))  # at most 31**3 n-grams per language
 
     def make():
         m = models.value
@@ -314,24 +350,27 @@ def measured(contents: DataFrame) -> DataFrame:
         def one(path, text):
             x = measure(path, text, m)
             kind, weight = kind_of(path, x)
-            yield path, kind, round(weight, 3), round(x["entropy"], 4), round(x["mangled"], 4), round(x["diversity"], 4), round(x["data"], 4), x["print"]
+            yield path, kind, round(weight, 3), round(x["entropy"], 4), round(x["mangled"], 4), round(x["diversity"], 4), round(x["templated"], 4), round(x["data"], 4), x["print"]
 
         return one
 
-    schema = "file_path string, kind string, weight double, entropy double, mangled double, diversity double, data_share double, print string"
+    schema = "file_path string, kind string, weight double, entropy double, mangled double, diversity double, templated double, data_share double, print string"
     return map_rows(files, schema, make)
 
 
 def not_handwritten(contents: DataFrame, manifest: DataFrame) -> DataFrame:
     """(file_path, kind) of code files of the manifest that were not written by hand in their repository, each once.
 
-    Files whose code equals that of a file known as vendored are vendored too: fingerprints of known copies (one
-    row each) meet those of the files in doubt. Null texts and paths are ignored, empty files are no cases.
+    Files in doubt are vendored if other repositories hold the same code (fingerprint of the code without comments
+    and blanks; a repository is the first part of the path), or if a file known as vendored does. Fingerprints are
+    counted down to one row each before they meet the files. Null texts and paths are ignored, empty files are no cases.
     """
     from .syntax import code_paths
 
     m = measured(contents).groupBy("file_path").agg(F.max("kind").alias("kind"), F.max("print").alias("print"))
     m = materialize(m.join(code_paths(manifest).select("file_path"), "file_path", "left_semi"))  # measured once, read three times
-    known = m.where("kind = 'vendored' and print is not null").select("print").distinct()
-    copies = m.where("kind is null and print is not null").join(known, "print", "left_semi").select("file_path", F.lit("vendored").alias("kind"))
+    places = m.where("print is not null").select("print", F.substring_index("file_path", "/", 1).alias("repo"), (F.col("kind") == "vendored").alias("known"))
+    places = places.groupBy("print", "repo").agg(F.max("known").alias("known")).groupBy("print").agg(F.count("*").alias("n"), F.max("known").alias("known"))
+    copied = places.where((F.col("n") >= COPIES) | F.col("known")).select("print")
+    copies = m.where("kind is null and print is not null").join(copied, "print", "left_semi").select("file_path", F.lit("vendored").alias("kind"))
     return m.where("kind is not null").select("file_path", "kind").unionByName(copies)

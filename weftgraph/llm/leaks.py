@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import uuid
 from collections import Counter, defaultdict
 
 import ahocorasick
@@ -21,18 +22,30 @@ from .arrow import map_rows
 
 WINDOW, BUDGET = 20, 3
 PIECE = (WINDOW + 1) // (BUDGET + 2)  # 4: BUDGET + 1 whole pieces lie in any window, at whatever offset
-#: A paragraph that more than this share of the items of a suite have is an instruction of the suite.
+#: A first or last paragraph that more than this share of the items of a suite have is an instruction of the suite;
+#: what stands between is the item's own, however many items share it.
 SHARED = 0.5
 #: Items per pass; the automaton of a pass is sent to the executors, so its size is bounded by this number.
 BLOCK = 20_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
+#: What looks like a tag but is long or runs over lines may be text between two unrelated signs.
+_SURE_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
 _LINK = re.compile(r"\]\([^()\s]*\)|\]\[[^\[\]\s]*\]")
 _HYPHEN = re.compile(r"(?<=\w)[-­]\s*\n\s*(?=\w)")
 _WORDS = re.compile(r"[^\W_]+")
 
 
-def words(text: str) -> list[str]:
+def readings(text: str) -> list[list[str]]:
+    """The words of a text; a second list without long tags and tags over lines too where it has such, since only
+    the reader of the page knows whether they are tags."""
+    first = words(text)
+    if "<" in text and any("\n" in t or len(t) > 200 for t in _TAG.findall(html.unescape(text) if "&" in text else text)):
+        return [first, words(text, _TAG)]
+    return [first]
+
+
+def words(text: str, tag: re.Pattern = _SURE_TAG) -> list[str]:
     """Lower-case words without markup: entities are read, tags and link targets dropped, words split over lines
     joined, and characters written in compatible forms (ligatures, combining accents, full width) made equal."""
     if "&" in text:
@@ -42,7 +55,7 @@ def words(text: str) -> list[str]:
     if "](" in text or "][" in text:
         text = _LINK.sub("] ", text)
     if "<" in text:
-        text = _TAG.sub(" ", text)
+        text = tag.sub(" ", text)
     if "-\n" in text or "- \n" in text or "-\r" in text or "­" in text:
         text = _HYPHEN.sub("", text).replace("\u00ad", "")
     return _WORDS.findall(text.lower())
@@ -56,12 +69,13 @@ def own_words(items: list[tuple[int, str, str]]) -> dict[int, list[str]]:
     for item_id, suite, text in items:
         parts[item_id] = (suite, [p for p in re.split(r"\n\s*\n", (text or "").replace("\r\n", "\n")) if p.strip()])
         size[suite] += 1
-        seen[suite].update({" ".join(words(p)) for p in parts[item_id][1]})
+        seen[suite].update({" ".join(words(p)) for p in parts[item_id][1][:1] + parts[item_id][1][1:][-1:]})
     out = {}
     for item_id, (suite, paragraphs) in parts.items():
         many = max(2, SHARED * size[suite])
-        own = [w for p in map(words, paragraphs) if seen[suite][" ".join(p)] <= many or size[suite] < 3 for w in p]
-        out[item_id] = own
+        every = list(map(words, paragraphs))
+        drop = {k for k in {0, len(every) - 1} if every and size[suite] >= 3 and seen[suite][" ".join(every[k])] > many}
+        out[item_id] = [w for k, p in enumerate(every) if k not in drop for w in p]
     return out
 
 
@@ -117,9 +131,12 @@ class Matcher:
     def find(self, text: str) -> set[int]:
         """Ids of the items of which the text holds a window within the budget."""
         found: set[int] = set()
-        ws = words(text)
-        if len(ws) < WINDOW - BUDGET or self.empty:
-            return found
+        for ws in readings(text):
+            if len(ws) >= WINDOW - BUDGET and not self.empty:
+                self._scan(ws, found)
+        return found
+
+    def _scan(self, ws: list[str], found: set[int]) -> None:
         line = " " + " ".join(ws) + " "
         #: (item, words that the text runs ahead of it) -> last of its windows that was verified there. A verdict on a
         #: window holds for every piece of it on that diagonal; later pieces bring the windows behind the last one.
@@ -146,7 +163,17 @@ class Matcher:
                 w = self.items[item]
                 if any(distance(w[s : s + WINDOW], around, BUDGET) for s in starts if s > last):
                     found.add(item)
-        return found
+
+
+#: The matcher that this worker built last, and for which block of items; the next tasks of the block use it again.
+_built: tuple[str, Matcher | None] = ("", None)
+
+
+def _matcher(key: str, items: dict[int, list[str]]) -> Matcher:
+    global _built
+    if _built[0] != key:
+        _built = (key, Matcher(items))
+    return _built[1]
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -163,8 +190,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     for at in range(0, max(1, len(ids)), BLOCK):
         block = docs.sparkSession.sparkContext.broadcast({i: own[i] for i in ids[at : at + BLOCK]})
 
-        def make(block=block):
-            matcher = Matcher(block.value)
+        def make(block=block, key=uuid.uuid4().hex):
+            matcher = _matcher(key, block.value)
 
             def one(doc_id, text):
                 return [(doc_id, i) for i in sorted(matcher.find(text or ""))]

@@ -6,7 +6,7 @@ import base64
 import os
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,7 +18,8 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that the vocabulary's own tokenizer splits text by before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Ranges of the seeded hash per source. Only the range that the fractional share ends in is ordered.
+#: Ranges of the seeded hash per source, each cut into as many again. Only the small range that the fractional share
+#: ends in is ordered, about a millionth of its source.
 BUCKETS = 1024
 
 
@@ -93,8 +94,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     once more if its seeded hash is among the first of its source whose tokens fill the fraction: the mix is the
     same for the same seed however the data is partitioned, and misses a share by less than one document.
 
-    Only per-source totals over BUCKETS hash ranges reach the driver (at most targets x BUCKETS rows); only
-    documents in the range where a fraction ends are ordered. Ties of the hash go by doc_id; duplicate targets of
+    Only per-source totals over BUCKETS hash ranges, and over the BUCKETS parts of the range where a fraction ends,
+    reach the driver (at most targets x BUCKETS rows each); only documents in the part where it ends are ordered. Ties of the hash go by doc_id; duplicate targets of
     one spelling are added; empty tables give an empty mix.
     """
     spark = docs.sparkSession
@@ -109,24 +110,41 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, total: int | None =
     names = [r["source"] for r in wanted]
     u = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40))
     chosen = docs.select("doc_id", source_key("source").alias("source"), "text").where(F.col("source").isin(names))
-    counted = materialize(token_counts(chosen, folder).withColumn("u", u).withColumn("b", F.floor(F.col("u") / ((1 << 40) // BUCKETS))))
-    per: dict[str, dict[int, int]] = {n: {} for n in names}
-    for r in counted.groupBy("source", "b").agg(F.sum("n_tokens").alias("n")).collect():
-        per[r["source"]][r["b"]] = r["n"]
+    small = F.floor(F.col("u") / ((1 << 40) // BUCKETS**2))
+    counted = materialize(token_counts(chosen, folder).withColumn("u", u).withColumn("b", small))
+
+    def totals(df: DataFrame, part: Column) -> dict[str, dict[int, int]]:
+        out: dict[str, dict[int, int]] = {n: {} for n in names}
+        for r in df.groupBy("source", part.alias("part")).agg(F.sum("n_tokens").alias("n")).collect():
+            out[r["source"]][r["part"]] = r["n"]
+        return out
+
+    def edge_of(sums: dict[int, int], left: float, edge: int = -1) -> tuple[int, float]:
+        """The range in which the running sum passes `left`, and what is left at its begin; `edge` if nothing is left."""
+        for b in sorted(sums) if left > 0.5 else ():
+            if left < sums[b]:
+                return b, left
+            edge, left = b + 1, left - sums[b]
+        return edge, left
+
+    per = totals(counted, F.floor(F.col("b") / BUCKETS))
     shares = [Share(r["source"], r["target_share"], r["max_repeats"], sum(per[r["source"]].values())) for r in wanted]
     water_fill(shares, total if total is not None else sum(s.available for s in shares))
-    plan = []
+    coarse = {}
     for s in shares:
         whole = int(s.epochs + 1e-12)
-        left, edge = s.tokens - whole * s.available, -1
-        if left > 0.5:
-            for b in sorted(per[s.source]):
-                edge = b
-                if left < per[s.source][b]:
-                    break
-                left -= per[s.source][b]
+        coarse[s.source] = (whole, *edge_of(per[s.source], s.tokens - whole * s.available))
+    ends = F.lit(False)
+    for name, (_, edge, _) in coarse.items():
+        ends = ends | ((F.col("source") == name) & (F.floor(F.col("b") / BUCKETS) == edge))
+    fine = totals(counted.where(ends), F.col("b"))
+    plan = []
+    for s in shares:
+        whole, edge, left = coarse[s.source]
+        if edge >= 0:
+            edge, left = edge_of(fine[s.source], left, edge * BUCKETS)
         plan.append((s.source, s.target, s.max_repeats, s.available, whole, edge, float(left)))
-    layout = "source string, target_share double, max_repeats int, available_tokens long, whole int, edge int, left double"
+    layout = "source string, target_share double, max_repeats int, available_tokens long, whole int, edge long, left double"
     steps = spark.createDataFrame(plan, layout) if plan else spark.createDataFrame([], layout)
     joined = counted.join(F.broadcast(steps), "source")  # at most one row per target
     upto = W.partitionBy("source").orderBy("u", "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)

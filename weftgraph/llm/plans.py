@@ -11,7 +11,7 @@ R = Registry()
 
 def _code_tables(spark, d):
     return (
-        table(spark, d, "nodes", "id", "label", "file_type", "source_file", "source_line", "docstring"),
+        table(spark, d, "nodes", "id", "label", "file_type", "source_file", "source_line", "docstring", "loaded_at"),
         table(spark, d, "file_contents", "file_path", "content"),
     )
 
