@@ -9,6 +9,10 @@ from weftgraph.llm.glr import END, Grammar, Parser
 
 GOOD = {
     "a.py": [
+        "x = 1  # 'quoted'\ny = 2  # \"\nmatch x:\n  case {'a': 'b' | 'c' as d, **e} | A.B(1, f=[-1, *g]) as h if h: pass\n  case (1 | None), _: pass\nf\"{9*\"a\"}b{c[\"d\"]}\"\n",
+        "f(*a, b, c=1, *d, e=2, **g, h=3)\ndef f(a, /, b=1, *, c, d=2, **e): pass\ndef g(a=1, /, b=2, *c: *T): pass\nlambda a, /, b=1, *c, d: 0\n",
+        "(a) = 1\n(a.b): int = 2\n[a, *b], (c, d.e[0]) = x\na[0].b += 1\nfor a, (b, c[1]) in d: pass\ndel (a, b[0]), [c.d]\nwith f() as (a, b), g() as c.d: pass\nf().x = 1\n",
+        "f'{a!r:>{w}} {{x}} {b[\"k\"]:%Y:%m} {c=} {d == e} {x if y else z} \\N{DASH}'\nrf'\\d{n}'\nf'{(lambda x: x)(1)}{ {1: 2}[1] }{*a, b}'\nf\"\"\"{\n a\n}\"\"\"\n00\n0_0\n09.5\n1_0j\n.5e-3\nf(x for x in y)\n",
         "", "\n  \n", "x = 1", "def f(a, *b, c=1, **d) -> int:\n    '''doc'''\n    return {k: [x, (1, 2)] for k, x in a.items() if x}\n",
         "class A(B, metaclass=M):\n  x: int = 3\n\n  @deco(1)\n  async def f(self):\n    async with a as b, c: pass\n    await x; yield\n",
         "try:\n\tpass\nexcept (A, B) as e:\n\traise X from e\nelse:\n\tpass\nfinally:\n\tpass\n", "if a: b\nelif c: d\nelse:\n  e\n", "lambda x, *y: x if y else -1",
@@ -16,7 +20,7 @@ GOOD = {
         "from . import (a as b, c,)\nimport a.b as c\nglobal x\nassert a, 'b'\ndel a[0]\n", "x = y = yield\nwith open(a) as f, b: pass\nwhile True: break\n", "if (n := 3) > 2: pass\n",
     ],
     "a.js": [
-        "", "var a = 1, b\nlet c = a / b / 2;", "const r = /[({]+$/g.test(x) ? a : b", "x => { return { a, b: 1, ...c, get d() { return 1 }, async *e() {} } }",
+        "[a.b, c[0]] = d; ({ a: b.c } = d); a().b = 1; (a) = 2; a.b++; --c[0]; for (a.b of c) ; for (x in y) ;", "", "var a = 1, b\nlet c = a / b / 2;", "const r = /[({]+$/g.test(x) ? a : b", "x => { return { a, b: 1, ...c, get d() { return 1 }, async *e() {} } }",
         "class A extends B { static #p = 1; constructor(a) { super(a) } get x() { return 1 } static { f() } async *[k]() {} }", "for (const [a, b] of c) ; for (let i = 0; i < 3; i++) { continue }",
         "label: while (1) { break label }\ndo x++; while (x < 3)\nif (a) b; else c", "import a, { b as c } from 'd'\nexport default function () {}\nexport { a as b }", "const f = async (a = 1, { b, c = 2 }, ...d) => await a?.b?.[0]?.(1)",
         "var t = `a ${b + `c ${d}`} e`", "switch (a) { case 1: case 2: f(); break; default: g() }", "try { a() } catch { b() } finally { c() }", "a = b\n(c)\n;[1, , 2]", "x = function* () { yield* a }; new A; new A.B(1).c",
@@ -34,7 +38,7 @@ GOOD = {
         "package a\nvar x = map[string][]int{\"a\": {1, 2}, \"b\": nil}\nconst (\n\tA = iota\n\tB\n)\nfunc F[T any, K ~int | string](a T) Map[K, T] { return G[T](a).h[1:2] }\n", "package a\nvar s = `raw } \" text`\nvar r = '\\n'\ntype I interface {\n\tf(int) error\n\tG\n}\n", "package a\nfunc f() bool { return a&b == 1 && c &^ d != 0 || !(e | f < *g) }\n",
     ],
     "A.java": [
-        "", "package a.b; import static c.D.*; public class A<T extends B & C> extends D<T[]> implements E, F { private static final int[] X = {1, 2}; @Override public <U> List<Map<String, U>> f(final int a, String... b) throws G { for (int i = 0; i < 3; i++) ; for (var x : y) { } return a > 0 ? b : null; } }",
+        "class A { void f() { a = b = 1; a.b[0] += 2; (x) = 3; i++; --this.j; g(); a.<T>h(); new B(); c.new D(); this.k = l; super.m(); for (i = 0, j = 1; ; i++, g()) {} A::new; } }".replace(" A::new;", ""), "", "package a.b; import static c.D.*; public class A<T extends B & C> extends D<T[]> implements E, F { private static final int[] X = {1, 2}; @Override public <U> List<Map<String, U>> f(final int a, String... b) throws G { for (int i = 0; i < 3; i++) ; for (var x : y) { } return a > 0 ? b : null; } }",
         "enum E { A(1) { int f() { return 1; } }, B; E() {} } interface I { default void f() {} int g(); } record R(int a) { } @interface J { int v() default 1; }",
         "class A { void f() { Runnable r = () -> {}; x.map(a -> a + 1).map(B::new); int y = (int) z; Object o = new A() { }; try (X a = b; c) { } catch (D | E e) { } finally { } switch (a) { case 1 -> f(); default -> { } } int s = switch (q) { case A, B -> 1; default -> 2; }; if (o instanceof B b) { } label: while (true) break label; switch (o) { case B b when b.x > 1 -> f(); default -> {} } int when = 1; String t = \"\"\"\n x \"q\" \"\"\"; } static { } }",
     ],
@@ -54,11 +58,11 @@ GOOD = {
     ],
 }
 BAD = {
-    "a.py": ["def f(:\n  pass", "if a\n  b", "x = (1", "def f():\nreturn 1", "  x = 1\n y = 2", "'''never ended", "<<<<<<< HEAD\nx = 1\n=======\ny = 2\n>>>>>>> b\n", "for x in y:\n", "x = 1 2", "@a\nx = 1", "1abc", "int main() { return 0; }", "try:\n  pass\n", "else:\n  pass\n"],
-    "a.js": ["function f( {", "let x = ;", "if (a {", "const a = 'x\n';", "a b", "{ ( }", "<<<<<<< ours\na()\n", "def f():\n  pass", "class { x y z }", "404: Not Found", "for (;) {}", "x = {a: 1,, b: 2}", "function f(a: number) {}", "`never ${a"],
+    "a.py": ["f() = 1", "del f()", "def f(x=1, y): pass", "f(a=1, 2)", "f(**k, *a)", "0777", "x = f'{x'", "x = f'{}'", "f'{a b}'", "f'}'", "a + b = 1", "for f() in x: pass", "def f(*): pass", "(a, b) += 1", "f'{a!}'", "lambda x=1, y: 0", "def f(:\n  pass", "if a\n  b", "x = (1", "def f():\nreturn 1", "  x = 1\n y = 2", "'''never ended", "<<<<<<< HEAD\nx = 1\n=======\ny = 2\n>>>>>>> b\n", "for x in y:\n", "x = 1 2", "@a\nx = 1", "1abc", "int main() { return 0; }", "try:\n  pass\n", "else:\n  pass\n"],
+    "a.js": ["1 = 2", "a + b = 3", "1++", "++'a'", "for (1 of x) {}", "function f( {", "let x = ;", "if (a {", "const a = 'x\n';", "a b", "{ ( }", "<<<<<<< ours\na()\n", "def f():\n  pass", "class { x y z }", "404: Not Found", "for (;) {}", "x = {a: 1,, b: 2}", "function f(a: number) {}", "`never ${a"],
     "a.ts": ["let x: = 1", "interface A { a: }", "function f(a number) {}", "<!DOCTYPE html>\n<html></html>", "a:\n  - name: b\n    size: 3 of 4\n"],
-    "a.go": ["package a\nfunc f( {\n}", "package a\nfunc f() {\n", "func f() {}", "package a\nx := 1\n", "package a\nfunc f() int { return }}\n", "import a"],
-    "A.java": ["class A {", "class A { int f( { } }", "class A { int x = 1 }", "int f() { return 1; }}", "public class A { void f() { g(1; } }", "class A { void f() { x y z; } }"],
+    "a.go": ["package a\nfunc f() { g() := 1 }\n", "package a\nfunc f( {\n}", "package a\nfunc f() {\n", "func f() {}", "package a\nx := 1\n", "package a\nfunc f() int { return }}\n", "import a"],
+    "A.java": ["class A { void f() { foo; } }", "class A { void f() { 1 + 2; } }", "class A { void f() { g() = 1; } }", "class A { void f() { a.b; } }", "class A { void f() { for (i; i < 3; i++) {} } }", "class A {", "class A { int f( { } }", "class A { int x = 1 }", "int f() { return 1; }}", "public class A { void f() { g(1; } }", "class A { void f() { x y z; } }"],
     "a.rs": ["fn f( {}", "fn f() { let x = ; }", "struct", "fn f() {", "use a::b", "fn f() { g(1; }", "fn f() -> { }", "import os"],
     "a.c": ["int main( {", "int f() { return 1 }", "int f() { g(1; }", "int f() {", "#if A\nint x;\n", "def f(): pass", "Error 503, please retry\n", "int a = ;", "}"],
     "a.cpp": ["class A {", "template <class T", "int f() { return 1 }", "namespace a {", "class A { int x } ;", "import os\nx = 1"],
@@ -75,6 +79,12 @@ def test_invalid(name, text):
     assert lexers.for_path(name).check(text) is not None
 
 
+def test_texts_of_comments_only():
+    for name, text in (("a.py", "# a\n\n# b"), ("a.js", "// a"), ("a.ts", "/* a\n */\n"), ("A.java", "// a\n"), ("a.rs", "//! a"), ("a.c", "/* a */"), ("a.cpp", "// a"), ("a.h", "#pragma once\n")):
+        assert lexers.for_path(name).check(text) is None, name
+    assert lexers.for_path("a.go").check("// a\n") is not None  # the package clause is missing
+
+
 def test_line_of_the_error():
     assert lexers.for_path("a.js").check("a()\n/* x\n y */\nb(;\nc()") == 4
     assert lexers.for_path("a.py").check("x = '''a\nb'''\n\ny = = 1\n") == 4

@@ -12,11 +12,16 @@ file: {stmt}
 stmt: simple NEWLINE | compound
 simple: small {';' small} [';']
 small: starexprs | assignment | 'pass' | 'break' | 'continue' | 'return' [starexprs] | 'raise' [expr ['from' expr]]
-  | 'global' name {',' name} | 'nonlocal' name {',' name} | 'del' targets | 'assert' expr [',' expr] | imp | yield
+  | 'global' name {',' name} | 'nonlocal' name {',' name} | 'del' dels | 'assert' expr [',' expr] | imp | yield
   | 'type' name [typarams] '=' expr
-assignment: target ASG (yield | starexprs) | target {'=' target} '=' (yield | starexprs) | target ':' expr ['=' (yield | starexprs)]
-target: starexprs
-targets: starexprs
+assignment: single ASG (yield | starexprs) | targets {'=' targets} '=' (yield | starexprs) | single ':' expr ['=' (yield | starexprs)]
+place: name | primary '.' name | primary '[' slices ']'
+single: place | '(' single ')'
+target: place | '(' [targets] ')' | '[' [targets] ']'
+targets: startarget {',' startarget} [',']
+startarget: target | '*' target
+dels: deleted {',' deleted} [',']
+deleted: place | '(' [dels] ')' | '[' [dels] ']'
 imp: 'import' dotted ['as' name] {',' dotted ['as' name]} | 'from' fromname 'import' ('*' | names | '(' names [','] ')')
 fromname: dots | dots dotted | dotted
 dots: '.' | '...' | dots '.' | dots '...'
@@ -34,27 +39,44 @@ compound: 'if' named ':' block {'elif' named ':' block} ['else' ':' block]
   | 'async' 'for' targets 'in' starexprs ':' block ['else' ':' block] | 'async' 'with' withitems ':' block
   | 'match' starexprs ':' NEWLINE INDENT cases DEDENT
 cases: case | cases case
-case: 'case' pattern ['if' named] ':' block
-pattern: starexprs | pattern 'as' name
+case: 'case' patterns ['if' named] ':' block
+patterns: (aspattern | '*' name) {',' (aspattern | '*' name)} [',']
+aspattern: orpattern ['as' name]
+orpattern: closed | orpattern BIN closed
+closed: literal | dotted | '(' [patterns] ')' | '[' [patterns] ']' | '{' [pairs [',']] '}' | dotted '(' [parts [',']] ')'
+literal: ['-'] NUM [('+' | '-') NUM] | strings | 'None' | 'True' | 'False'
+pairs: pair {',' pair}
+pair: (literal | dotted) ':' aspattern | '**' name
+parts: part {',' part}
+part: aspattern | name '=' aspattern
 excepts: except | excepts except
 except: 'except' ['*'] [exprs ['as' name]] ':' block
 exprs: expr {',' expr}
 withitems: withitem {',' withitem}
-withitem: expr ['as' target1]
-target1: bitor
+withitem: expr ['as' target]
 decorators: '@' named NEWLINE {'@' named NEWLINE}
 definition: ['async'] 'def' name [typarams] '(' [params] ')' ['->' expr] ':' block
   | 'class' name [typarams] ['(' [args] ')'] ':' block
 typarams: '[' typaram {',' typaram} [','] ']'
 typaram: name [':' expr] ['=' expr] | '*' name | '**' name
-params: param {',' param} [',']
-param: name [':' expr] ['=' expr] | '*' [name [':' starexpr]] | '**' name [':' expr] | '/'
+params: positional [','] | positional ',' starred | starred
+positional: plains | plains ',' defaults | defaults
+plains: name [':' expr] | plains ',' name [':' expr] | plains ',' '/'
+defaults: name [':' expr] '=' expr | defaults ',' name [':' expr] '=' expr | defaults ',' '/' | plains ',' '/' ',' name [':' expr] '=' expr
+starred: '*' name [':' starexpr] {',' named1} [',' doubled] [','] | '*' {',' named1} ',' named1 [',' doubled] [','] | doubled [',']
+named1: name [':' expr] ['=' expr]
+doubled: '**' name [':' expr]
 starexprs: starexpr {',' starexpr} [',']
 starexpr: named | '*' bitor
 named: expr | name ':=' expr
 expr: ortest | ortest 'if' ortest 'else' expr | 'lambda' [lparams] ':' expr
-lparams: lparam {',' lparam} [',']
-lparam: name ['=' expr] | '*' [name] | '**' name | '/'
+lparams: lpositional [','] | lpositional ',' lstarred | lstarred
+lpositional: lplains | lplains ',' ldefaults | ldefaults
+lplains: name | lplains ',' name | lplains ',' '/'
+ldefaults: name '=' expr | ldefaults ',' name '=' expr | ldefaults ',' '/'
+lstarred: '*' name {',' lnamed} [',' ldoubled] [','] | '*' {',' lnamed} ',' lnamed [',' ldoubled] [','] | ldoubled [',']
+lnamed: name ['=' expr]
+ldoubled: '**' name
 ortest: nottest | ortest ('or' | 'and') nottest
 nottest: comparison | 'not' nottest
 comparison: bitor | comparison ('<' | '>' | CMP | 'in' | 'not' 'in' | 'is' | 'is' 'not') bitor
@@ -64,11 +86,13 @@ power: ['await'] primary
 primary: atom | primary '.' name | primary '(' [args] ')' | primary '[' slices ']'
 slices: slice {',' slice} [',']
 slice: named | '*' bitor | [expr] ':' [expr] [':' [expr]]
-args: arg {',' arg} [',']
-arg: named | named comps | name '=' expr | '*' expr | '**' expr
+args: named comps [','] | places [','] | places ',' keywords [','] | keywords [',']
+places: (named | '*' expr) {',' (named | '*' expr)}
+keywords: keyword | keyword ',' doubles | doubles
+keyword: name '=' expr | keyword ',' (name '=' expr | '*' expr)
+doubles: '**' expr | doubles ',' ('**' expr | name '=' expr)
 comps: comp | comps comp
-comp: ['async'] 'for' targets2 'in' ortest {'if' nocond}
-targets2: bitor {',' bitor} [','] | '*' bitor {',' bitor}
+comp: ['async'] 'for' targets 'in' ortest {'if' nocond}
 nocond: ortest | 'lambda' [lparams] ':' nocond | name ':=' ortest
 atom: name | NUM | strings | 'None' | 'True' | 'False' | '...' | '(' ')' | '(' (yield | starexprs | named comps) ')'
   | '[' ']' | '[' (starexprs | named comps) ']' | '{' '}' | '{' (dict | starexprs | named comps) '}'
@@ -118,17 +142,18 @@ statement: block | 'var' vars eos | ';' | expr eos | if | loop | 'continue' [ID]
 if: 'if' '(' expr ')' statement ['else' statement]
 loop: 'do' statement 'while' '(' expr ')' eos | 'do' statement 'while' '(' expr ')' | 'while' '(' expr ')' statement
   | 'for' ['await'] '(' forhead ')' statement
-forhead: [expr | lexical] ';' [expr] ';' [expr] | (('const' | 'let' | 'var') target | postfix) ('in' | 'of') expr
+forhead: [expr | lexical] ';' [expr] ';' [expr] | (('const' | 'let' | 'var') target | place) ('in' | 'of') expr
+place: bind | postfix '.' (word | PRIVATE) | postfix '[' expr ']' | postfix args | '(' expr ')' | array | object
 try: 'try' block ('catch' ['(' target ')'] block ['finally' block] | 'finally' block)
 branch: ('case' expr | 'default') ':' {stmt}
 expr: expr1 {',' expr1}
-expr1: cond | postfix ('=' | ASG) expr1 | arrow | 'yield' ['*'] [expr1] | pattern '=' expr1
+expr1: cond | place ('=' | ASG) expr1 | arrow | 'yield' ['*'] [expr1] | pattern '=' expr1
 pattern: '[' [elems] ']' | '{' [props [',']] '}'
 arrow: ['async'] bind '=>' (expr1 | block) | ['async'] signature '=>' (expr1 | block)
 cond: binary ['?' expr1 ':' expr1]
 binary: unary | binary binop unary
 binop: BIN | '+' | '-' | '*' | '/' | '<' | '>' | CMP | 'in' | 'instanceof'
-unary: postfix | postfix INC | ('+' | '-' | '!' | '~' | INC | 'typeof' | 'void' | 'delete' | 'await') unary | PRIVATE
+unary: postfix | place INC | INC place | ('+' | '-' | '!' | '~' | 'typeof' | 'void' | 'delete' | 'await') unary | PRIVATE
 postfix: primary | postfix '.' (word | PRIVATE) | postfix '?.' (word | PRIVATE) | postfix ['?.'] '[' expr ']' | postfix ['?.'] args | postfix TPL
   | 'new' postfix | 'new' '.' word
 args: '(' [arglist [',']] ')'
@@ -183,6 +208,7 @@ arrow: ['async'] signature '=>' (expr1 | block)
 binary: binary ('as' | 'satisfies') (type | 'const')
 postfix: postfix '!' | postfix targs args | 'new' postfix targs args | postfix targs TPL
 unary: '<' type '>' unary
+place: postfix '!' | postfix targs args
 primary: ['async'] 'function' ['*'] [bind] tparams '(' [params [',']] ')' [':' rtype] block
 targs: '<' types '>'
 tparams: '<' tparam {',' tparam} [','] '>'
@@ -250,10 +276,10 @@ block: '{' stmts '}' | '{' '}'
 stmts: stmt | ';' | stmts ';' | stmts ';' stmt
 stmt: decl | simple | 'return' [exprs] | 'break' [ID] | 'continue' [ID] | 'goto' ID | 'fallthrough' | block | if | for | switch | select
   | 'go' expr | 'defer' expr | ID ':' [stmt]
-simple: expr | expr INC | exprs ('=' | ASG | ':=') exprs | expr '<-' expr | exprs ':=' 'range' expr | exprs '=' 'range' expr
+simple: expr | expr INC | exprs ('=' | ASG) exprs | ids ':=' exprs | expr '<-' expr | ids ':=' 'range' expr | exprs '=' 'range' expr
 if: 'if' [simple ';'] cexpr block ['else' (if | block)]
 cexpr: expr
-for: 'for' block | 'for' expr block | 'for' [simple] ';' [expr] ';' [simple] block | 'for' exprs (':=' | '=') 'range' expr block | 'for' 'range' expr block
+for: 'for' block | 'for' expr block | 'for' [simple] ';' [expr] ';' [simple] block | 'for' ids ':=' 'range' expr block | 'for' exprs '=' 'range' expr block | 'for' 'range' expr block
 switch: 'switch' [simple ';'] [simple] '{' {clause} '}'
 clause: ('case' caselist | 'default') ':' [stmts]
 caselist: caseitem {',' caseitem}
@@ -311,11 +337,15 @@ vars: var {',' var}
 var: name {dims} ['=' init]
 init: expr | '{' [init {',' init}] [','] '}'
 block: '{' {stmt} '}'
-stmt: block | ';' | {modifier} jtype vars ';' | {modifier} typedecl | expr ';' | 'if' '(' expr ')' stmt ['else' stmt] | 'while' '(' expr ')' stmt
-  | 'do' stmt 'while' '(' expr ')' ';' | 'for' '(' [forinit] ';' [expr] ';' [exprs] ')' stmt | 'for' '(' {modifier} jtype name ':' expr ')' stmt
+stmt: block | ';' | {modifier} jtype vars ';' | {modifier} typedecl | effect ';' | 'if' '(' expr ')' stmt ['else' stmt] | 'while' '(' expr ')' stmt
+  | 'do' stmt 'while' '(' expr ')' ';' | 'for' '(' [forinit] ';' [expr] ';' [effects] ')' stmt | 'for' '(' {modifier} jtype name ':' expr ')' stmt
   | 'return' [expr] ';' | 'break' [name] ';' | 'continue' [name] ';' | 'throw' expr ';' | 'yield' expr ';' | 'assert' expr [':' expr] ';'
   | 'synchronized' '(' expr ')' block | try | switch | name ':' stmt
-forinit: {modifier} jtype vars | exprs
+forinit: {modifier} jtype vars | effects
+effects: effect {',' effect}
+effect: place ('=' | ASG | '>' CMP | '>' '>' CMP) expr | place INC | INC place | postfix '(' [exprs] ')' | postfix '.' 'new' ref '(' [exprs] ')' [body]
+  | 'new' ref '(' [exprs] ')' [body]
+place: name | postfix '.' name | postfix '[' expr ']' | '(' place ')'
 exprs: expr {',' expr}
 try: 'try' block catches ['finally' block] | 'try' block 'finally' block | 'try' '(' resource {';' resource} [';'] ')' block [catches] ['finally' block]
 catches: catch | catches catch
@@ -326,12 +356,12 @@ branch: label ':' {stmt} | label '->' (expr ';' | block | 'throw' expr ';')
 label: 'case' caseitem {',' caseitem} ['when' expr] | 'default'
 caseitem: cond | pattern | 'default'
 pattern: {modifier} jtype name | ref '(' [pattern {',' pattern}] ')' [name]
-expr: cond | postfix ('=' | ASG | '>' CMP | '>' '>' CMP) expr | lambda
+expr: cond | place ('=' | ASG | '>' CMP | '>' '>' CMP) expr | lambda
 lambda: name '->' (expr | block) | '(' [params | names] ')' '->' (expr | block)
 names: name {',' name}
 cond: binary | binary '?' expr ':' (cond | lambda)
 binary: unary | binary (BIN | CMP | '+' | '-' | '*' | '/' | '&' | '|' | '<' | '>' | '>' '>' | '>' '>' '>') unary | binary 'instanceof' (pattern | jtype)
-unary: postfix | postfix INC | ('+' | '-' | '!' | '~' | INC) unary | '(' jtype {'&' jtype} ')' (unary | lambda) | switch
+unary: postfix | place INC | INC place | ('+' | '-' | '!' | '~') unary | '(' jtype {'&' jtype} ')' (unary | lambda) | switch
 postfix: primary | postfix '.' [targs] name | postfix '(' [exprs] ')' | postfix '[' expr ']' | postfix '.' 'new' ref '(' [exprs] ')' [body]
   | postfix '.' ('this' | 'class' | 'super') | (postfix | jtype) '::' [targs] (name | 'new')
 primary: name | NUM | STR | CHR | 'true' | 'false' | 'null' | 'this' | 'super' | '(' expr ')' | 'new' ref '(' [exprs] ')' [body]

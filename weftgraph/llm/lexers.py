@@ -42,6 +42,7 @@ class Lexer(dict):
 class Language:
     """A grammar with its lexer; `check` gives None or the line of the first error that cannot be recovered."""
 
+    only_comments = True  # whether a text without any token parses
     word, number, newline_ends = "ID", re.compile(r"0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO]?[0-7_]+|[\d_]*\.?[\d_]*(?:[eE][+-]?[\d_]+)?"), ""
 
     def __init__(self, name: str, text: str, start: str, pattern: str, groups: dict[str, str] | None = None):
@@ -113,10 +114,11 @@ class Language:
                 config = run(config, line) if nxt is None else nxt
                 if config < 0:
                     return self.place(text, n)
-        return None if p.accepts(config) else text.count("\n") + 1
+        return None if p.accepts(config) or config == p.start and self.only_comments else text.count("\n") + 1
 
 
 class Go(Language):
+    only_comments = False
     newline_ends = "ID NUM STR CHR break continue fallthrough return INC ) ] }"
     number = re.compile(r"(?:0[xX][\da-fA-F_.]+(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO]?[0-7_]+|[\d_]*\.?[\d_]*(?:[eE][+-]?\d+)?)i?")
 
@@ -370,14 +372,22 @@ class Rust(Language):
 
 
 class Python(Language):
-    number = re.compile(r"(?:0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*)?\.?(?:\d(?:_?\d)*)?(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)")
-    _prefix = re.compile(r"(?i)[rubft]{0,2}(?=['\"])")
+    _D = r"\d(?:_?\d)*"
+    number = re.compile(
+        r"0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|0(?:_?0)*|[1-9](?:_?\d)*"
+        rf"|(?:(?:{_D})?\.{_D}|{_D}\.)(?:[eE][+-]?{_D})?[jJ]?|{_D}[eE][+-]?{_D}[jJ]?|{_D}[jJ]"
+    )
+    _formatted = re.compile(r"(?i)(r?)[ft](r?)(\"{3}|'{3}|[\"'])")
+    _conversion = re.compile(r"\s*![A-Za-z]\s*(?=[:}])")
 
     def __init__(self):
         p = r"(?i:[rub]|br|rb|[ft]|fr|rf|tr|rt)?"
+        # a field of a formatted string may hold strings with the quotes of the whole
+        field = r"\{(?:[^{}Q\n]|Q[^Q{}\n]*Q|\{[^{}]*\})*\}"
+        nested = "|".join((rf"(?i:[ft]|[ft]r|r[ft])Q(?!QQ)(?:[^Q\\\n{{]|\\(?s:.)|\{{\{{|{field})*Q").replace("Q", q) for q in "\"'")
         super().__init__(
             "Python", G.PYTHON, "file",
-            rf'\n[ \t\f]*|\#[^\n]*|\\\r?\n|{p}"""(?:[^"\\]|\\(?s:.)|"(?!""))*"""|{p}\'\'\'(?:[^\'\\]|\\(?s:.)|\'(?!\'\'))*\'\'\'|"""|\'\'\'|{p}{_DQ}|{p}{_SQ}|{_WORD}|{_NUMBER}',
+            rf'\n[ \t\f]*|\#[^\n]*|\\\r?\n|{p}"""(?:[^"\\]|\\(?s:.)|"(?!""))*"""|{p}\'\'\'(?:[^\'\\]|\\(?s:.)|\'(?!\'\'))*\'\'\'|"""|\'\'\'|{nested}|{p}{_DQ}|{p}{_SQ}|{_WORD}|{_NUMBER}',
             {"CMP": "<= >= == !=", "BIN": "// % | & ^ << >>", "ASG": "+= -= *= /= //= %= @= &= |= ^= >>= <<= **="},
         )
         del self.fixed["\n"], self.lexer["\n"]
@@ -392,10 +402,66 @@ class Python(Language):
             for x in t[1:]:
                 width = width + 1 if x == " " else (width // 8 + 1) * 8 if x == "\t" else 0
             return NL + chr(0x4000 + min(width, 5000))
-        if t[-1] in "\"'" and len(t) > 1 and t not in ('"""', "'''"):
-            return self.char["STR"]
+        if t[-1] in "\"'" and len(t) > 1 and t[0] not in "#\\" and t not in ('"""', "'''"):
+            m = self._formatted.match(t)
+            return self.char["STR"] if not m or self._fields(t, m.end(), len(t) - len(m[3]), bool(m[1] or m[2])) == len(t) - len(m[3]) else BAD
         return super().classify(t)
 
+    def _fields(self, t: str, i: int, end: int, raw: bool, spec: bool = False) -> int:
+        """Reads the text of a formatted string from i; its end, the index of the `}` behind a format, or -1 on an error."""
+        while i < end:
+            c = t[i]
+            if c == "\\" and not raw:
+                i = t.find("}", i) if t.startswith("N{", i + 1) else i + 1
+                if i < 0:
+                    return -1
+            elif c == "}":
+                if spec:
+                    return i
+                if not t.startswith("}}", i):
+                    return -1
+                i += 1
+            elif c == "{":
+                if not spec and t.startswith("{{", i):
+                    i += 1
+                else:
+                    i = self._field(t, i + 1, end, raw)
+                    if i < 0:
+                        return -1
+            i += 1
+        return -1 if spec else i
+
+    def _field(self, t: str, i: int, end: int, raw: bool) -> int:
+        """The index of the `}` that ends the replacement field which begins at i; -1 if its expression does not parse."""
+        depth, begin, quote = 0, i, ""
+        while i < end:
+            c = t[i]
+            if quote:
+                if c == "\\":
+                    i += 1
+                elif t.startswith(quote, i):
+                    i += len(quote) - 1
+                    quote = ""
+            elif c in "\"'":
+                quote = c * 3 if t.startswith(c * 3, i) else c
+                i += len(quote) - 1
+            elif c in "([{":
+                depth += 1
+            elif c in ")]}" and depth:
+                depth -= 1
+            elif not depth and (c in "}:" or c == "!" and t[i + 1 : i + 2] != "="):
+                break
+            i += 1
+        source = re.sub(r"(?<![=!<>])=\s*\Z", "", t[begin:i])  # `{x=}` shows the expression too
+        if i >= end or not source.strip() or self.check(f"({source}\n)\n") is not None:
+            return -1
+        if t[i] == "!":
+            m = self._conversion.match(t, i)
+            if not m:
+                return -1
+            i = m.end()
+        return self._fields(t, i + 1, end, raw, True) if t[i] == ":" else i
+
     def other(self, t):
         if t[0] == "#" or t[0] == "\\":
             return "" if t[0] == "#" or len(t) > 1 else BAD
@@ -445,6 +511,8 @@ class Python(Language):
             config = run(config, body) if nxt is None else nxt
             if config < 0:
                 return self.place(text, n) - 1
+        if config == p.start:
+            return None
         if not depth:
             config = run(config, self.dedent * (len(stack) - 1)) if len(stack) > 1 else config
             if p.accepts(config):
@@ -535,7 +603,7 @@ class JavaScript(Language):
                 config = nxt
                 if config < 0:
                     return n + 1
-        return None if self.parser.accepts(self._finish(config)) else len(lines)
+        return None if config == self.parser.start or self.parser.accepts(self._finish(config)) else len(lines)
 
     def _again(self, text: str) -> bool:
         """Whether a careful tokenisation (nested templates, expressions before a slash, JSX) has an error too."""
