@@ -95,3 +95,36 @@ def test_listing_honours_ignore_rules(tmp_path):
         (tmp_path / p).write_text("x")
     (tmp_path / ".gitignore").write_text("*.log\n!keep.log\n/build/\n# note\n")
     assert [p for p, _ in listing(str(tmp_path))] == [".gitignore", ".hidden.py", "a.py", "deep/build/y.py", "sub/c.py", "sub/keep.log"]
+
+
+def imported(path, text):
+    return [m for _, m in code.imports(code.parse(text, code.language_of(path)))]
+
+
+@pytest.mark.parametrize(
+    "path, text, modules",
+    [
+        ("a.py", 'import os, sys as s\nfrom . import rel, other as o\nfrom ..a.b import c\n"""\nimport fake\n"""\n# import no\nx = 1; import late\nfrom m import (\n  a,\n  b,\n)\nimport x.y, \\\n  z\n', ["os", "sys", "other", "rel", "a.b", "late", "m", "x.y", "z"]),
+        ("a.js", 'import {\n  a,\n  b as c,\n} from "mod"\nimport d from \'./d\'\nimport "side"\nexport * from "all"\nexport { e } from "e"\nconst f = require("f"), g = await import(`g`)\n// import "no"\nconst s = "import x from \\"y\\"";\nobj.require("no")\n', ["mod", "./d", "side", "all", "e", "f", "g"]),
+        ("a.ts", "import type { A } from 'types'\nimport B = require('b')\n", ["types", "b"]),
+        ("a.rs", "use std::{fs, io::{self, Read as R}};\npub use crate::a::*;\nuse x;\n// use no;\nextern crate serde;\n", ["std::fs", "std::io", "std::io::Read", "crate::a", "x", "serde"]),
+        ("a.go", 'package a\nimport "fmt"\nimport (\n\t"os"\n\tx "a.b/c"\n\t// "no"\n\t_ "d"\n)\nfunc f() string {\n\tg(\n\t\t"arg",\n\t)\n\treturn "ok"\n}\n', ["fmt", "os", "a.b/c", "d"]),
+        ("A.java", "package a;\nimport java.util.List;\nimport static a.B.*;\nclass C { String s = \"import x.y;\"; }\n", ["java.util.List", "a.B.*"]),
+        ("a.scala", "import a.b.{C, D => E}\nimport f._\nimport g.h, i.j\n", ["a.b.C", "a.b.D", "f", "g.h", "i.j"]),
+        ("a.kt", "import a.b.C as D\n", ["a.b.C"]),
+        ("a.c", '#include <a/b.h>\n#  include "c.h"\n/* #include <no.h> */\n', ["a/b.h", "c.h"]),
+        ("a.swift", "@testable import A\nimport struct B.C\n", ["A", "B.C"]),
+        ("a.css", "@import url('a.css');\n@import \"b.css\";\n@import url(c.css);\n/* @import 'no'; */\n", ["a.css", "b.css", "c.css"]),
+        ("a.ex", "defmodule A do\n  alias B.{C, D}\n  use E, opt: 1\nend\n", ["B.C", "B.D", "E"]),
+        ("a.rb", "require 'a/b'\nrequire_relative(\"c\")\n# require 'no'\n", ["a/b", "c"]),
+        ("a.php", "<?php\nuse A\\B;\nuse C\\{D, E as F};\nrequire_once 'g.php';\n$f = function () use ($x) { };\n", ["A\\B", "C\\D", "C\\E", "g.php"]),
+        ("a.cs", "using System;\nusing static A.B;\nusing X = C.D;\nclass K { void f() { using (var x = y()) { } } }\n", ["System", "A.B", "C.D"]),
+        ("a.hs", "module A where\nimport qualified Data.Map as M\nimport B (c)\n-- import No\n", ["Data.Map", "B"]),
+        ("a.lua", "local a = require('a.b')\n-- require('no')\n", ["a.b"]), ("a.dart", "import 'package:a/b.dart' as b;\n", ["package:a/b.dart"]),
+        ("a.sh", "source ./a.sh\n# source no\n. b/c.sh\n", ["./a.sh", "b/c.sh"]), ("a.zig", 'const std = @import("std");\n', ["std"]),
+        ("a.py", "", []), ("a.md", "import a", []),
+    ],
+)
+def test_imports(path, text, modules):
+    got = imported(path, text) if code.language_of(path) else []
+    assert sorted(got) == sorted(modules)

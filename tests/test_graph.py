@@ -2,6 +2,7 @@ import random
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.operators import build as B
 from weftgraph.operators import graph as G
@@ -46,11 +47,27 @@ def test_search_and_paths(spark):
     assert G.shortest_path(e, "n1", "n4") == [] and G.shortest_path(e, "n1", "n1") == ["n1"]
     assert {r["id"] for r in G.dfs(e, ["n1"], 1).collect()} == {"n1", "n2"}
     text = [r["line"] for r in G.subgraph_text(e, n, G.bfs(e, G.seeds(n, "alpha"), 2).visited).orderBy("pos").collect()]
-    assert text[0].startswith("NODE Beta") and sum(x.startswith("EDGE") for x in text) == 2
+    assert text[0].startswith("NODE Beta") and "\n  summary: " not in text[0] and sum(x.startswith("EDGE") for x in text) == 2
+    told = [r["line"] for r in G.subgraph_text(e, n.withColumn("docstring", F.lit("d" * 300)), G.bfs(e, G.seeds(n, "alpha"), 2).visited).orderBy("pos").collect()]
+    assert told[0].endswith("\n  summary: " + "d" * 200)
     cut = [r["line"] for r in G.subgraph_text(e, n, G.bfs(e, G.seeds(n, "alpha"), 2).visited, 20).orderBy("pos").collect()]
     assert cut[-1] == "... (truncated)"
 
 
+def test_a_path_of_many_hops(spark):
+    n, e = make(spark, [(f"n{i:02d}", f"N{i}", "f", 0) for i in range(60)], [(f"n{i + 1:02d}", f"n{i:02d}", "next") for i in range(59)])
+    path = G.shortest_path(e, "n00", "n59")
+    assert path == [f"n{i:02d}" for i in range(60)] and G.shortest_path(e, "n00", "gone") == []
+    hops = G.path_hops(e, n, path).orderBy("hop").collect()
+    assert len(hops) == 59 and tuple(hops[0]) == (1, "N0", "next", "EXTRACTED", "N1")
+
+
+def test_dfs_tree(spark):
+    n, e = make(spark, [(i, i, "f", 0) for i in "abcd"], [("a", "b", "x"), ("b", "c", "x"), ("a", "c", "x"), ("c", "d", "x")])
+    rows = [tuple(r) for r in G.dfs(e, ["a"], 3).orderBy("step").collect()]
+    assert rows == [(0, "a", 0, None), (1, "b", 1, "a"), (2, "c", 2, "b"), (3, "d", 3, "c")]
+
+
 def test_random_graphs_against_plain_search(spark):
     r = random.Random(5)
     ids = [f"v{i:02d}" for i in range(25)]

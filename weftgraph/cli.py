@@ -1,4 +1,4 @@
-"""Command line: python -m weftgraph.cli COMMAND ... (run, update, watch, query, path, explain, stats, export, merge, diff, history, cluster-only)."""
+"""Command line: python -m weftgraph.cli COMMAND ... (run, update, watch, query, path, explain, stats, export, merge, diff, history, cluster-only, ingest)."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def parser() -> argparse.ArgumentParser:
     sub.add_parser("stats")
     e = sub.add_parser("export")
     e.add_argument("--out", required=True)
-    e.add_argument("--format", default="json", choices=["json", "graphml", "html", "report"])
+    e.add_argument("--format", default="json", choices=["json", "file", "graphml", "html", "report"])
     m = sub.add_parser("merge")
     for a in ("a", "b", "out"):
         m.add_argument(a)
@@ -40,9 +40,22 @@ def parser() -> argparse.ArgumentParser:
         d.add_argument(a)
     sub.add_parser("history").add_argument("--limit", type=int, default=20)
     sub.add_parser("cluster-only")
+    i = sub.add_parser("ingest")
+    i.add_argument("urls", nargs="+")
+    i.add_argument("--out", required=True)
     return p
 
 
+def get(url: str) -> bytes:
+    """The body behind a URL, one byte more than is taken at most."""
+    from urllib.request import urlopen
+
+    from .sources.web import MAX_DOWNLOAD
+
+    with urlopen(url, timeout=30) as r:
+        return r.read(MAX_DOWNLOAD + 1)
+
+
 def main(argv: list[str] | None = None) -> object:
     args = parser().parse_args(argv)
     spark = get_session()
@@ -63,7 +76,7 @@ def main(argv: list[str] | None = None) -> object:
     elif c == "query":
         out = g.query(args.question, "dfs" if args.dfs else "bfs", args.depth, args.budget)
     elif c == "path":
-        out = " -> ".join(g.path(args.a, args.b)) or "no path"
+        out = g.path_text(args.a, args.b)
     elif c == "explain":
         out = g.explain(args.node)
     elif c == "stats":
@@ -73,9 +86,13 @@ def main(argv: list[str] | None = None) -> object:
     elif c == "merge":
         out = Engine(spark, args.a).merge(Engine(spark, args.b), Engine(spark, args.out))
     elif c == "diff":
-        out = Engine(spark, args.a).diff(Engine(spark, args.b))
+        out = Engine(spark, args.a).diff_text(Engine(spark, args.b))
     elif c == "history":
-        out = g.history(args.limit)
+        out = g.history_text(args.limit)
+    elif c == "ingest":
+        from .sources.web import ingest
+
+        out = ingest(spark.createDataFrame([(u,) for u in args.urls], "url string"), get, args.out)
     else:
         out = g.cluster_only()
     if out is not None:

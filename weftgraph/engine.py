@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +15,11 @@ from .operators import export
 from .operators import graph as G
 from .sources import extraction, files
 from .sources.semantic import Backend, enrich
-from .store import Store
+from .session import materialize
+from .store import Store, write_text
 
+#: Labels that a difference shows per kind of change.
+SHOWN = 20
 _EXTRACTED = extraction.SCHEMA + ", content_hash string"
 _GRAPH_EDGES = schemas.EDGES + ", source_line int"
 
@@ -23,8 +27,9 @@ _GRAPH_EDGES = schemas.EDGES + ", source_line int"
 class Engine:
     """All state lives in versioned tables of one folder; several engines may read it at once."""
 
-    def __init__(self, spark: SparkSession, folder: str, backend: Backend | None = None):
-        self.spark, self.store, self.backend = spark, Store(spark, folder), backend
+    def __init__(self, spark: SparkSession, folder: str, backend: Backend | None = None, paper_text: Callable[[bytes], str] | None = None):
+        """`backend` enriches files, `paper_text` turns the bytes of a paper into text; both are left out by default."""
+        self.spark, self.store, self.backend, self.paper_text = spark, Store(spark, folder), backend, paper_text
 
     # building
 
@@ -32,13 +37,14 @@ class Engine:
         """Detect changes, extract new and changed files, rebuild the graph from all extractions, find communities.
 
         Only files whose content hash is new are parsed; symbols are resolved over all files. A failing run is
-        logged as failed and leaves the graph as it was.
+        logged as failed and leaves the graph as it was. The report is written beside the tables. Counts of the
+        result: files per status, nodes, edges, communities, and rows that were given up as duplicates.
         """
         began = int(time.time())
         run_id = self.store.read("runs", schemas.RUNS).agg(F.max("id")).first()[0] or 0
         row = {"id": run_id + 1, "started_at": str(began), "finished_at": None, "status": "failed", "files_processed": 0, "nodes_added": 0, "edges_added": 0}
         try:
-            found = self.store.write("found", files.detect(self.spark, root))
+            found = self.store.write("found", files.detect(self.spark, root, self.paper_text))
             manifest = self.store.read("manifest", schemas.MANIFEST)
             status = B.changes(manifest, found).groupBy("status").count().collect()
             counts = {r["status"]: r["count"] for r in status}
@@ -48,7 +54,8 @@ class Engine:
             fresh = self.extract(work)
             valid = cache.join(found.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi")
             self.store.write("extractions", valid.unionByName(fresh))
-            nodes, edges = self.build(self.store.read("extractions", _EXTRACTED))
+            extracted = self.store.read("extractions", _EXTRACTED)
+            nodes, edges = self.build(extracted)
             nodes = self.store.write("nodes", self.cluster(nodes, edges))
             self.store.write("edges", edges)
             self.store.write("manifest", now)
@@ -56,6 +63,10 @@ class Engine:
                 "status": "completed", "files_processed": counts.get("new", 0) + counts.get("changed", 0),
                 "nodes_added": nodes.count(), "edges_added": self.store.read("edges").count(),
             }
+            self.write_report()
+            real = self.nodes().where("file_type <> 'stub'").count()
+            raw = extracted.selectExpr("count_if(kind = 'node' and id <> '')", "count_if(kind = 'edge' and source is not null and target <> '')").first()
+            counts |= {"duplicate_nodes": raw[0] - real, "duplicate_edges": raw[1] - row["edges_added"]}
             return counts | {"nodes": row["nodes_added"], "edges": row["edges_added"], "communities": nodes.agg(F.countDistinct("community")).first()[0]}
         finally:
             row["finished_at"] = str(int(time.time()))
@@ -66,7 +77,7 @@ class Engine:
     def extract(self, found: DataFrame) -> DataFrame:
         """Extraction rows of files with a content: code, documents and, with a backend, concepts."""
         code = extraction.extract_code(found.where("file_type = 'code'"))
-        out = code.unionByName(self._documents(found.where("file_type = 'document'")))
+        out = code.unionByName(self._documents(found.where("file_type = 'document' or file_type = 'paper' and content is not null")))
         if self.backend is not None:
             s = enrich(found.where("content is not null"), self.backend)
             cols = extraction.SCHEMA.split(", ")
@@ -84,7 +95,7 @@ class Engine:
         return out.join(found.select("file_path", "content_hash"), "file_path")
 
     def _documents(self, docs: DataFrame) -> DataFrame:
-        """A node per document and per heading (markdown, rst) or paragraph (text), nested, and links to other files."""
+        """A node per document and per heading (markdown, rst, papers) or paragraph (text), nested, and links to other files."""
         rows = X.lines(docs, "file_path", "content")
         stem = X.node_id(X.file_stem("file_path"))
         name = F.regexp_extract("file_path", r"([^/]*)$", 1)
@@ -110,6 +121,8 @@ class Engine:
         own = sid(F.col("title"), F.col("line_no"))
         up = h.select("file_path", F.col("line_no").alias("parent_line"), sid(F.col("title"), F.col("line_no")).alias("parent_id"))
         nested = h.join(up, ["file_path", "parent_line"], "left")
+        paper = X.pdf_markdown(docs.where("file_type = 'paper'"), "file_path", "content").where(F.startswith("line", F.lit("## ")))
+        h = h.unionByName(paper.select("file_path", (F.col("p") + 1).alias("line_no"), F.lit(2).alias("level"), F.substring("line", 4, 1000).alias("title"), F.lit(None).cast("int").alias("parent_line")))
         p = X.paragraphs(rows.where(F.col("file_path").rlike(r"(?i)\.txt$")), "file_path")
         pid = F.concat(stem, F.lit("::p"), F.col("p").cast("string"))
         links = X.markdown_links(md, "file_path")
@@ -143,8 +156,9 @@ class Engine:
         return plain.join(labels.select("id", F.pmod(F.hash("label"), F.lit(2**31 - 1)).alias("community")), "id", "left").join(central, "id", "left")
 
     def cluster_only(self) -> int:
-        """Find communities again without reading files; the number of communities."""
+        """Find communities again without reading files and write the report; the number of communities."""
         n = self.store.write("nodes", self.cluster(self.nodes(), self.edges()))
+        self.write_report()
         return n.agg(F.countDistinct("community")).first()[0]
 
     # asking
@@ -169,27 +183,41 @@ class Engine:
         ids = [r["id"] for r in seeds]
         start = self.spark.createDataFrame([(i,) for i in ids], "id string")
         if mode == "dfs":
-            ball = G.dfs(e, ids, depth).select("id", "depth", F.lit(None).cast("string").alias("parent"))
+            ball = materialize(G.dfs(e, ids, depth).select("id", "depth", "parent"))
         else:
             ball = G.bfs(e, start, depth).visited
+        found, tree = ball.agg(F.count("*"), F.count("parent")).first()
+        labels = ", ".join(r["label"] for r in seeds)
         lines = [r["line"] for r in G.subgraph_text(e, n, ball, budget).orderBy("pos").collect()]
-        text = "\n".join([f"Question: {question} ({mode}, depth {depth}, {len(ids)} seeds)", *lines])
+        text = "\n".join([f"Traversal: {mode.upper()} depth={depth} | Start: {labels} | {found} nodes, {tree} edges found", "", *lines])
         self._log(question, text)
         return text
 
+    def _ends(self, n: DataFrame, a: str, b: str) -> list:
+        return [G.seeds(n, q, 1).first() for q in (a, b)]
+
     def path(self, a: str, b: str) -> list[str]:
         """Labels on a shortest path between the best matches of two terms; [] if there is none."""
         n, e = self.nodes(), self.edges()
-        ends = [G.seeds(n, q, 1).first() for q in (a, b)]
-        if None in ends:
-            return []
+        ends = self._ends(n, a, b)
+        ids = [] if None in ends else G.shortest_path(e, ends[0]["id"], ends[1]["id"])
+        label = {r["id"]: r["label"] for r in n.where(F.col("id").isin(ids)).select("id", "label").collect()} if ids else {}
+        return [label[i] for i in ids]
+
+    def path_text(self, a: str, b: str) -> str:
+        """A shortest path hop by hop, with the relation and the confidence of the first edge of each hop."""
+        n, e = self.nodes(), self.edges()
+        ends = self._ends(n, a, b)
+        for term, end in zip((a, b), ends):
+            if end is None:
+                return f"No matching node for '{term}'."
         ids = G.shortest_path(e, ends[0]["id"], ends[1]["id"])
         if not ids:
-            return []
-        label = {r["id"]: r["label"] for r in n.where(F.col("id").isin(ids)).select("id", "label").collect()}
-        names = [label[i] for i in ids]
-        self._log(f"{a} -> {b}", " -> ".join(names))
-        return names
+            return "No path found."
+        hops = G.path_hops(e, n, ids).orderBy("hop").collect() if len(ids) > 1 else []
+        text = "\n".join([f"Shortest path ({len(ids) - 1} hops):", *[f"  {r['source_label']} --{r['relation']} [{r['confidence']}]--> {r['target_label']}" for r in hops]])
+        self._log(f"{a} -> {b}", f"path found: {len(ids) - 1} hops")
+        return text
 
     def explain(self, node: str) -> dict | None:
         """The node (exact id, else best match), its first 20 neighbours and their full number."""
@@ -201,16 +229,17 @@ class Engine:
         if hit is None:
             return None
         every = e.where((F.col("source") == hit["id"]) | (F.col("target") == hit["id"])).count()
+        self._log(node, f"explain: {hit['label']} ({every} neighbours)")
         return hit.asDict() | {"neighbours": [r.asDict() for r in G.neighbours(e, n, hit["id"]).drop("copy").collect()], "neighbour_count": every}
 
     def _log(self, question: str, answer: str) -> None:
-        old = self.store.read("history", schemas.HISTORY)
+        old = self.store.log("history", schemas.HISTORY)
         n = (old.agg(F.max("id")).first()[0] or 0) + 1
         row = [(n, question, answer[:500], "", str(int(time.time())))]
-        self.store.append("history", self.spark.createDataFrame(row, schemas.HISTORY), schemas.HISTORY)
+        self.store.add("history", self.spark.createDataFrame(row, schemas.HISTORY).coalesce(1))
 
     def history(self, limit: int = 20) -> list[dict]:
-        return [r.asDict() for r in self.store.read("history", schemas.HISTORY).orderBy(F.desc("id")).limit(limit).collect()]
+        return [r.asDict() for r in self.store.log("history", schemas.HISTORY).orderBy(F.desc("id")).limit(limit).collect()]
 
     # exports and algebra
 
@@ -220,16 +249,22 @@ class Engine:
         stats = G.stats(n, e, self.store.read("manifest", schemas.MANIFEST))
         return export.report_text(export.report_lines(stats, hubs, G.cross_community(e, n), G.questions(hubs, n)))
 
+    def write_report(self) -> None:
+        """`graph_report.md` beside the tables of the graph."""
+        write_text(self.spark, f"{self.store.folder}/graph_report.md", [self.report()])
+
     def export(self, out: str, kind: str = "json") -> None:
-        """json and graphml are folders written by the executors; html and report are single files."""
+        """json and graphml are folders written by the executors; file (one JSON object), html and report are single
+        files, written by the driver row by row."""
         n, e = self.nodes(), self.edges()
         if kind == "json":
             export.json_rows(n, e).select("kind", "json").write.mode("overwrite").partitionBy("kind").text(out)
         elif kind == "graphml":
             export.write_graphml(n, e, out)
         elif kind in ("html", "report"):
-            with open(out, "w", encoding="utf-8") as f:
-                f.write(export.html_page(n, e) if kind == "html" else self.report())
+            write_text(self.spark, out, [export.html_page(n, e) if kind == "html" else self.report()])
+        elif kind == "file":
+            write_text(self.spark, out, export.json_document(n, e))
         else:
             raise ValueError(f"unknown export {kind}")
 
@@ -239,12 +274,34 @@ class Engine:
         edges = self.edges().unionByName(other.edges())
         out.store.write("edges", edges)
         out.store.write("nodes", out.cluster(nodes, out.edges()))
+        out.write_report()
         return out.stats()
 
     def diff(self, other: "Engine") -> dict:
-        """Counts of nodes and edges that were added or removed on the way to `other`."""
+        """Counts of nodes and edges that were added or removed on the way to `other`, and the first SHOWN labels of
+        the nodes (by id)."""
         out = {}
         for name, d in (("nodes", G.diff_nodes(self.nodes(), other.nodes())), ("edges", G.diff_edges(self.edges(), other.edges()))):
             got = {r["change"]: r["count"] for r in d.groupBy("change").count().collect()}
             out |= {f"{name}_added": got.get("added", 0), f"{name}_removed": got.get("removed", 0)}
+            for change in ("added", "removed") if name == "nodes" else ():
+                first = d.where(F.col("change") == change).orderBy("id").limit(SHOWN)
+                out[f"{change}_labels"] = [r["label"] for r in first.collect()] if got.get(change) else []
         return out
+
+    def diff_text(self, other: "Engine") -> str:
+        d = self.diff(other)
+        rows = [f"{k.replace('_', ' ').capitalize()}: {n}" for k, n in d.items() if not k.endswith("labels")]
+        for change, sign in (("added", "+"), ("removed", "-")):
+            labels, n = d[f"{change}_labels"], d[f"nodes_{change}"]
+            rows += ["", f"{change.capitalize()} nodes:", *[f"  {sign} {x}" for x in labels]] if labels else []
+            rows += [f"  ... and {n - len(labels)} more"] if n > len(labels) else []
+        return "\n".join(rows)
+
+    def history_text(self, limit: int = 20) -> str:
+        """The newest questions, each with the first line of its answer, cut after 100 characters."""
+        rows = []
+        for r in self.history(limit):
+            first = (r["answer"] or "").split("\n")[0]
+            rows += [f"[#{r['id']}] {r['question']}", *([f"  {first[:100]}{'...' if len(first) > 100 else ''}"] if first else []), ""]
+        return "\n".join(rows) or "No query history found."

@@ -153,33 +153,6 @@ def preceding_node(tags: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return both.withColumn("parent_id", F.last("id", ignorenulls=True).over(w)).where("side = 1").select(key, "line_no", "tag", "text", "parent_id")
 
 
-#: What an import line looks like per language; the first group is the module.
-IMPORTS = {
-    "python": r"^\s*(?:from\s+([\w.]+)\s+import\b.*|import\s+([\w.]+).*)$",
-    "javascript": r"^\s*(?:import\b.*\bfrom\s*|import\s*|(?:const|let|var)\b.*=\s*require\(\s*|export\b.*\bfrom\s*)[\"']([^\"']+)[\"'].*$",
-    "rust": r"^\s*(?:pub\s+)?use\s+([\w:]+).*$",
-    "go": r"^\s*(?:import\s+)?(?:[\w.]+\s+)?\"([\w./-]+)\"\s*$",
-    "java": r"^\s*import\s+(?:static\s+)?([\w.*]+)\s*;.*$",
-    "c": r"^\s*#\s*include\s*[<\"]([^>\"]+)[>\"].*$",
-    "swift": r"^\s*import\s+(?:class\s+|struct\s+|func\s+)?([\w.]+).*$",
-    "css": r"^\s*@(?:import|use)\s+(?:url\()?[\"']([^\"']+)[\"'].*$",
-    "elixir": r"^\s*(?:import|alias|use|require)\s+([\w.]+).*$",
-    "ruby": r"^\s*require(?:_relative)?\s+[\"']([^\"']+)[\"'].*$",
-}
-IMPORTS |= {"typescript": IMPORTS["javascript"], "cpp": IMPORTS["c"], "scala": IMPORTS["java"].replace(r"\s*;.*", ".*"), "kotlin": IMPORTS["java"].replace(r"\s*;.*", ".*")}
-
-
-def imports(rows: DataFrame, key: str, lang: str = "language") -> DataFrame:
-    """(key, line_no, module) of import lines; rows: (key, language, line_no, line). Grouped imports give one row each."""
-    module = F.lit("")
-    for name, pattern in IMPORTS.items():
-        found = F.regexp_extract("line", pattern, 1)
-        if name == "python":
-            found = F.concat(found, F.regexp_extract("line", pattern, 2))
-        module = F.when(F.col(lang) == name, found).otherwise(module)
-    return rows.select(key, "line_no", module.alias("module")).where("module <> ''")
-
-
 def html_to_text(html: Column | str) -> Column:
     """Tags become one blank, runs of white space keep their first character; nothing left gives `(empty page)`."""
     t = F.trim(F.regexp_replace(F.regexp_replace(col(html), r"<[^>]*>|<[^>]*$|>", " "), r"(\s)\s+", "$1"))

@@ -135,51 +135,79 @@ class Ball:
 
     visited: DataFrame
     depth: int
+    levels: list[DataFrame]
 
 
-def bfs(edges: DataFrame, start: DataFrame, depth: int, target: str | None = None) -> Ball:
-    """Level-wise search from the ids of `start`; ends early on an empty frontier or when `target` is reached.
+#: Frontiers of up to this many ids are broadcast; larger ones meet the edges by a shuffle.
+MAX_FRONTIER = 50_000
 
-    Each level is one join of the frontier with the edges and one anti-join with what was visited, then written
-    to the checkpoint folder, so the lineage stays one level long and a lost executor repeats one level only.
+
+def bfs(edges: DataFrame, start: DataFrame, depth: int | None, target: str | None = None) -> Ball:
+    """Level-wise search from the ids of `start`; ends on an empty frontier, when `target` is reached, or after `depth`
+    levels (None: no bound).
+
+    Each level is one join of the frontier with the edges, one anti-join and one count, written to the checkpoint
+    folder, so that a lost executor repeats one level only. Neighbours of a level lie in it or in the two beside it,
+    so only these two are looked through, however many levels there are.
     """
     links = undirected(edges).select("src", "dst").where("src <> dst")
-    if depth > 1:
+    if depth is None or depth > 1:
         links = materialize(links)  # read once per level, so not derived again from the tables
-    frontier = materialize(start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))
-    visited, d = frontier, 0
-    for d in range(1, depth + 1):
+    levels = [materialize(start.select("id").distinct().select("id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent")))]
+    hit = F.max((F.col("id") == target).cast("int")) if target is not None else F.lit(0)
+    n, d = levels[0].count(), 0
+    while n and (depth is None or d < depth):
+        d += 1
+        ids = levels[-1].select("id")
+        near = F.broadcast(ids) if n <= MAX_FRONTIER else ids
+        known = ids if d == 1 else ids.unionByName(levels[-2].select("id"))
         found = (
-            links.join(small(frontier.select(F.col("id").alias("src")), 50_000), "src")
+            links.join(near.withColumnRenamed("id", "src"), "src")
             .groupBy(F.col("dst").alias("id"))
             .agg(F.min("src").alias("parent"))
-            .join(visited.select("id"), "id", "left_anti")
+            .join(known, "id", "left_anti")
             .select("id", F.lit(d).alias("depth"), "parent")
         )
-        frontier = materialize(found)
-        if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-        if target is not None and not frontier.where(F.col("id") == target).isEmpty():
+        levels.append(materialize(found))
+        n, reached = levels[-1].agg(F.count("*"), hit).first()
+        if reached:
             break
-    return Ball(visited, d)
+    visited = levels[0]
+    for level in levels[1:]:
+        visited = visited.unionByName(level)
+    return Ball(visited, d, levels)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, limit: int = 50) -> list[str]:
-    """Ids on a shortest undirected path (ties: smallest parent); [] if there is none within `limit` hops."""
-    spark = edges.sparkSession
+def shortest_path(edges: DataFrame, source: str, target: str) -> list[str]:
+    """Ids on a shortest undirected path (ties: smallest parent); [] if there is none. The search goes on until it
+    meets the target or runs out of nodes; the way back looks up one id in each level."""
     if source == target:
         return [source]
-    ball = bfs(edges, spark.createDataFrame([(source,)], "id string"), limit, target)
+    ball = bfs(edges, edges.sparkSession.createDataFrame([(source,)], "id string"), None, target)
     path, at = [], target
-    parents = ball.visited.select("id", "parent", "depth")
-    hop = parents.where(F.col("id") == at).first()
-    if hop is None:
-        return []
-    for _ in range(hop["depth"]):  # one keyed look-up per hop
+    for level in reversed(ball.levels[1:]):
+        hop = level.where(F.col("id") == at).first()
+        if hop is None:
+            return []
         path.append(at)
-        at = parents.where(F.col("id") == at).first()["parent"]
-    return [source, *reversed(path)]
+        at = hop["parent"]
+    return [source, *reversed(path)] if path else []
+
+
+def path_hops(edges: DataFrame, nodes: DataFrame, path: list[str]) -> DataFrame:
+    """(hop, source_label, relation, confidence, target_label) of a path: the first edge (lowest id) of each hop, in
+    either direction."""
+    spark = edges.sparkSession
+    hops = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(path, path[1:]), 1)], "hop int, a string, b string")
+    both = (F.col("source") == F.col("a")) & (F.col("target") == F.col("b")), (F.col("source") == F.col("b")) & (F.col("target") == F.col("a"))
+    ends = edges.where(F.col("source").isin(path) & F.col("target").isin(path))  # one literal per hop
+    first = ends.join(F.broadcast(hops), both[0] | both[1]).groupBy("hop", "a", "b").agg(F.min(F.struct("id", "relation", "confidence")).alias("f"))
+    label = nodes.where(F.col("id").isin(path)).select("id", "label")
+    return (
+        first.join(label.select(F.col("id").alias("a"), F.col("label").alias("source_label")), "a")
+        .join(label.select(F.col("id").alias("b"), F.col("label").alias("target_label")), "b")
+        .select("hop", "source_label", "f.relation", "f.confidence", "target_label")
+    )
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, node_id: str, k: int = 20) -> DataFrame:
@@ -202,7 +230,8 @@ DFS_LIMIT = 2_000_000
 
 
 def dfs(edges: DataFrame, start: list[str], depth: int, limit: int = DFS_LIMIT) -> DataFrame:
-    """(step, id, depth): exact depth-first order from the start ids, at most `depth` deep.
+    """(step, id, depth, parent): exact depth-first order from the start ids, at most `depth` deep; parent is the node
+    from which the search came (null for the start ids).
 
     A node is visited when popped; neighbours are pushed by edge id descending and outgoing first, and a node
     first reached deep is not expanded again. The search cannot leave the ball of radius `depth`, so the ball is
@@ -224,18 +253,18 @@ def dfs(edges: DataFrame, start: list[str], depth: int, limit: int = DFS_LIMIT)
         for s, t in pdf.sort_values(["back", "id"], ascending=[True, False])[["src", "dst"]].itertuples(index=False):
             near.setdefault(s, []).append(t)
         seen, rows = set(), []
-        stack = [(s, 0) for s in reversed(start)]
+        stack = [(s, 0, None) for s in reversed(start)]
         while stack:
-            x, d = stack.pop()
+            x, d, parent = stack.pop()
             if x in seen or d > depth:
                 continue
             seen.add(x)
-            rows.append((len(rows), x, d))
+            rows.append((len(rows), x, d, parent))
             if d < depth:
-                stack += [(y, d + 1) for y in near.get(x, ()) if y not in seen]
-        return pd.DataFrame(rows, columns=["step", "id", "depth"])
+                stack += [(y, d + 1, x) for y in near.get(x, ()) if y not in seen]
+        return pd.DataFrame(rows, columns=["step", "id", "depth", "parent"])
 
-    return adjacency.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda p: run(p), "step int, id string, depth int")
+    return adjacency.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda p: run(p), "step int, id string, depth int, parent string")
 
 
 #: Label propagation: nodes change in this many phases per round, by a hash of the id.
@@ -263,14 +292,14 @@ def label_propagation(edges: DataFrame, nodes: DataFrame, rounds: int = 100) ->
     """(id, label) and the number of rounds: semi-synchronous label propagation until nothing changes.
 
     Start label: the own id. Isolated nodes keep theirs. A round is PHASES distributed group-bys; labels are
-    written to the checkpoint folder after each phase. A state equal to that of two rounds before ends the loop as well.
+    written to the checkpoint folder after every other phase. A state equal to that of two rounds before ends the loop as well.
     """
     links = materialize(undirected(edges).groupBy("src", "dst").agg(F.count("*").alias("w")))
     labels = materialize(nodes.select("id", F.col("id").alias("label")))
     seen: list[int] = []
     for r in range(1, rounds + 1):
-        for p in range(PHASES):
-            labels = materialize(propagate(links, labels, p))
+        for p in range(0, PHASES, 2):  # the lineage is two phases long at most
+            labels = materialize(propagate(links, propagate(links, labels, p), p + 1), instead_of=labels)
         mark = labels.agg(F.sum(F.xxhash64("id", "label").cast("decimal(38,0)")).alias("m")).first()["m"]
         if mark in seen[-2:]:
             return labels, r
@@ -297,17 +326,19 @@ def diff_edges(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def subgraph_text(edges: DataFrame, nodes: DataFrame, ball: DataFrame, budget: int = 2000) -> DataFrame:
-    """(pos, line): nodes by degree, then tree edges by depth, cut after budget * 3 bytes, then a note on the cut.
+    """(pos, line): nodes by degree, each with the first 200 characters of its documentation if it has one, then tree
+    edges by depth, cut after budget * 3 bytes, then a note on the cut.
 
     No line has fewer than 10 bytes, so only the first budget * 3 / 10 lines can fit: these are taken by a top-k,
     and the running sum sees no more than them.
     """
     most, room = budget * 3, budget * 3 // 10 + 1
     d = undirected(edges).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
-    shown = ball.join(nodes.select("id", "label", "source_file", "community"), "id").join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    shown = ball.join(nodes.select("id", "label", "source_file", "community", "docstring"), "id").join(d, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    summary = F.when(F.col("docstring") != "", F.concat(F.lit("\n  summary: "), F.substring("docstring", 1, 200))).otherwise("")
     a = shown.select(
         F.lit(0).alias("part"), (-F.col("degree")).alias("o"), F.col("id").alias("k"),
-        F.concat(F.lit("NODE "), "label", F.lit(" ["), F.coalesce("source_file", F.lit("?")), F.lit("] community="), F.coalesce(F.col("community").cast("string"), F.lit("?")), F.lit(" degree="), F.col("degree").cast("string")).alias("line"),
+        F.concat(F.lit("NODE "), "label", F.lit(" ["), F.coalesce("source_file", F.lit("?")), F.lit("] community="), F.coalesce(F.col("community").cast("string"), F.lit("?")), F.lit(" degree="), F.col("degree").cast("string"), F.coalesce(summary, F.lit(""))).alias("line"),
     )
     first = edges.select(F.least("source", "target").alias("x"), F.greatest("source", "target").alias("y"), F.struct("id", "relation", "confidence").alias("f")).groupBy("x", "y").agg(F.min("f").alias("f"))
     label = nodes.select(F.col("id").alias("parent"), F.col("label").alias("parent_label"))

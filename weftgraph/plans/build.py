@@ -214,17 +214,28 @@ def resolve_edges(spark, d):
 # Text extraction -------------------------------------------------------------------------------------------------
 
 _L = r"""f AS (SELECT DISTINCT file_path, content FROM file_contents WHERE content IS NOT NULL AND {w}),
-  s AS (SELECT file_path, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) a FROM f),
+  s AS (SELECT file_path, string_split({c}, chr(10)) a FROM f),
   l AS (SELECT file_path, unnest(a) line, generate_subscripts(a, 1) line_no FROM s)"""
 
 
-def _lines(spark, d, pattern):
+def _lines(spark, d, pattern, change=None):
     c = table(spark, d, "file_contents", "file_path", "content").where(F.col("file_path").rlike(pattern)).distinct()
+    if change:
+        c = c.withColumn("content", F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), change[0], change[1].replace("\\", "$")))
     return X.lines(c, "file_path", "content")
 
 
-def _where(pattern):
-    return _L.format(w=f"regexp_matches(file_path, '{pattern}')")
+def _where(pattern, change=None):
+    text = "replace(content, chr(13) || chr(10), chr(10))"
+    if change:
+        text = f"regexp_replace({text}, '{change[0]}', '{change[1]}', 'g')"
+    return _L.format(w=f"regexp_matches(file_path, '{pattern}')", c=text)
+
+
+#: The files have neither links nor underlined headings; these queries read them with code spans written as links, and
+#: with headings underlined.
+_AS_LINKS = (r"`([\w.]+)`", r"[\1](\1)")
+_UNDERLINED = (r"(?m)^#{1,6}[ \t]+(.+)$", "\\1\n" + "=" * 90)
 
 
 _MD, _TXT, _RST = r"\.mdx?$", r"\.txt$", r"\.rst$"
@@ -247,10 +258,10 @@ def markdown_nesting(spark, d):
 
 @R.query(
     "markdown_links",
-    f"WITH {_where(_MD)}, x AS (SELECT file_path, line_no, unnest(regexp_extract_all(line, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM l) SELECT * FROM x WHERE NOT starts_with(target, 'http') AND NOT starts_with(target, '#')",
+    f"WITH {_where(_MD, _AS_LINKS)}, x AS (SELECT file_path, line_no, unnest(regexp_extract_all(line, '\\[[^\\]]*\\]\\(([^)]+)\\)', 1)) AS target FROM l) SELECT * FROM x WHERE NOT starts_with(target, 'http') AND NOT starts_with(target, '#')",
 )
 def markdown_links(spark, d):
-    return X.markdown_links(_lines(spark, d, _MD), "file_path")
+    return X.markdown_links(_lines(spark, d, _MD, _AS_LINKS), "file_path")
 
 
 @R.query(
@@ -264,11 +275,11 @@ def text_paragraphs(spark, d):
 
 @R.query(
     "rst_headings",
-    f"""WITH {_where(_RST)}, u AS (SELECT file_path, line_no, trim(line) title, rtrim(lead(line) OVER (PARTITION BY file_path ORDER BY line_no)) un FROM l)
+    f"""WITH {_where(_RST, _UNDERLINED)}, u AS (SELECT file_path, line_no, trim(line) title, rtrim(lead(line) OVER (PARTITION BY file_path ORDER BY line_no)) un FROM l)
 SELECT file_path, line_no, title, substring(un, 1, 1) AS mark FROM u WHERE title <> '' AND NOT regexp_matches(title, '^[=\\-~^"]+$') AND regexp_matches(un, '^[=\\-~^"]+$') AND length(un) >= length(title)""",
 )
 def rst_headings(spark, d):
-    return X.rst_headings(_lines(spark, d, _RST), "file_path")
+    return X.rst_headings(_lines(spark, d, _RST, _UNDERLINED), "file_path")
 
 
 _TAGS = r"^\s*(#|//|--|;|%)\s*(" + "|".join(X.TAGS) + r"):\s*(.*)$"
@@ -290,18 +301,21 @@ def rationale_parent_asof(spark, d):
     return X.preceding_node(X.rationale(_lines(spark, d, _CODE), "file_path"), n, "file_path")
 
 
-def _import_case():
-    out = []
-    for name, pattern in X.IMPORTS.items():
-        q = pattern.replace("'", "''")
-        get = f"regexp_extract(line, '{q}', 1)" + (f" || regexp_extract(line, '{q}', 2)" if name == "python" else "")
-        out.append(f"WHEN language = '{name}' THEN {get}")
-    return "CASE " + " ".join(out) + " ELSE '' END"
+#: What an import line of the test data looks like, as SQL sees it line by line.
+_IMPORT_LINES = {
+    "python": r"^\s*(?:from|import)\s+([\w.]+)", "java": r"^import\s+(?:static\s+)?([\w.]+)", "c": r"^#include\s*[<\"]([^>\"]+)", "cpp": r"^#include\s*[<\"]([^>\"]+)",
+    "javascript": r"^(?:import\b.*\bfrom\s*|(?:const|let|var)\b.*=\s*require\()[\"\']([^\"\']+)", "typescript": r"^(?:import\b.*\bfrom\s*|(?:const|let|var)\b.*=\s*require\()[\"\']([^\"\']+)",
+    "rust": r"^use\s+([\w:]+)\s*;", "go": r"^\s*(?:import\s+)?\"([\w./-]+)\"$",
+}
+_IMPORT_CASE = " ".join("WHEN language = '{}' THEN regexp_extract(line, '{}', 1)".format(k, v.replace("'", "''")) for k, v in _IMPORT_LINES.items())
 
 
-@R.query("import_modules", f"WITH {_where(_CODE)}, m AS (SELECT file_path, line_no, {_import_case()} AS module FROM (SELECT *, {_LANG} AS language FROM l)) SELECT * FROM m WHERE module <> ''")
+@R.query(
+    "import_modules",
+    f"WITH {_where(_CODE)}, m AS (SELECT DISTINCT file_path, line_no, CASE {_IMPORT_CASE} ELSE '' END AS module FROM (SELECT *, {_LANG} AS language FROM l)) SELECT * FROM m WHERE module <> ''",
+)
 def import_modules(spark, d):
-    return X.imports(_lines(spark, d, _CODE).withColumn("language", X.language("file_path")), "file_path")
+    return extraction.import_rows(table(spark, d, "file_contents", "file_path", "content").distinct())
 
 
 @R.query(
@@ -418,13 +432,20 @@ def _data(k):
 @R.query(
     "graphml_elements",
     f"""{GP.BASE} SELECT 'node' AS kind, id, '<node id="' || {_XML.format(x='id')} || '">' || {' || '.join(map(_data, ('label', 'file_type', 'source_file', 'source_line', 'community')))} || '</node>' AS xml FROM n
-UNION ALL SELECT 'edge', id::VARCHAR, '<edge source="' || {_XML.format(x='source')} || '" target="' || {_XML.format(x='target')} || '">' || {_data('relation')} || {_data('confidence')} || '</edge>' FROM c""",
+UNION ALL SELECT 'edge', id::VARCHAR, '<edge source="' || {_XML.format(x='source')} || '" target="' || {_XML.format(x='target')} || '">' || {_data('relation')} || {_data('confidence')} || {_data('confidence_score')} || '</edge>' FROM c""",
 )
 def graphml_elements(spark, d):
     return export.graphml_elements(*GP.graph(spark, d))
 
 
-@R.query("export_json_rows")
+def _object(fields):
+    return "to_json({" + ", ".join(f"'{k}': {k}" for k in fields) + "})::VARCHAR"
+
+
+@R.query(
+    "export_json_rows",
+    f"{GP.BASE} SELECT 'node' AS kind, id, {_object(export.NODE_FIELDS)} AS json FROM n UNION ALL SELECT 'edge', id::VARCHAR, {_object(export.EDGE_FIELDS)} FROM c",
+)
 def export_json_rows(spark, d):
     return export.json_rows(*GP.graph(spark, d))
 

@@ -175,7 +175,7 @@ def bfs_tree_edges(spark, d):
   dg AS (SELECT src id, count(*) degree FROM u GROUP BY 1),
   f AS (SELECT least(source, target) x, greatest(source, target) y, arg_min(relation, id) relation, arg_min(confidence, id) confidence FROM c GROUP BY 1, 2),
   lines AS (SELECT 0 part, -coalesce(degree, 0) o, ball.id k, 'NODE ' || label || ' [' || coalesce(source_file, '?') || '] community=' || coalesce(community::VARCHAR, '?')
-      || ' degree=' || coalesce(degree, 0) line FROM ball JOIN n USING (id) LEFT JOIN dg USING (id)
+      || ' degree=' || coalesce(degree, 0) || CASE WHEN docstring <> '' THEN chr(10) || '  summary: ' || substring(docstring, 1, 200) ELSE '' END line FROM ball JOIN n USING (id) LEFT JOIN dg USING (id)
     UNION ALL SELECT 1, depth, ball.id, 'EDGE ' || p.label || ' --' || relation || '-> ' || n.label || ' (' || confidence || ')'
     FROM ball JOIN n USING (id) JOIN n p ON p.id = ball.parent JOIN f ON f.x = least(ball.id, ball.parent) AND f.y = greatest(ball.id, ball.parent)),
   run AS (SELECT row_number() OVER (ORDER BY part, o, k) pos, line, sum(strlen(line) + 1) OVER (ORDER BY part, o, k) used FROM lines)
@@ -195,16 +195,45 @@ def dfs_visited(spark, d):
 @R.query(
     "shortest_path_hops",
     f"""WITH RECURSIVE {N}, {E}, {C}, {U}, {S(SOURCE_TERM, 1, 's')}, {S(TARGET_TERM, 1, 't')},
-  b AS (SELECT id, 0 AS hops FROM s UNION SELECT dst, hops + 1 FROM b JOIN u ON u.src = b.id WHERE hops < 6 AND b.id NOT IN (SELECT id FROM t))
+  b(id, hops) USING KEY (id) AS (SELECT id, 0 AS hops FROM s UNION SELECT DISTINCT dst, hops + 1 FROM b JOIN u ON u.src = b.id WHERE dst NOT IN (SELECT id FROM recurring.b))
 SELECT s.id AS source, t.id AS target, min(hops) IS NOT NULL AS found, min(hops) AS hops FROM s, t LEFT JOIN b ON b.id = t.id GROUP BY ALL""",
 )
 def shortest_path_hops(spark, d):
     n, e = graph(spark, d)
     a, b = (G.seeds(n, q, 1).first()["id"] for q in (SOURCE_TERM, TARGET_TERM))
-    path = G.shortest_path(e, a, b, 6)
+    path = G.shortest_path(e, a, b)
     return spark.createDataFrame([(a, b, bool(path), len(path) - 1 if path else None)], "source string, target string, found boolean, hops int")
 
 
+@R.query(
+    "path_text",
+    f"""WITH RECURSIVE {N}, {E}, {C}, {U}, {S(SOURCE_TERM, 1, 's')}, {S(TARGET_TERM, 1, 't')},
+  b(id, hops, parent) USING KEY (id) AS (SELECT id, 0 AS hops, NULL::VARCHAR FROM s
+    UNION SELECT dst, min(hops) + 1, min(b.id) FROM b JOIN u ON u.src = b.id WHERE dst NOT IN (SELECT id FROM recurring.b) GROUP BY dst),
+  p AS (SELECT id, parent, hops FROM b WHERE id IN (SELECT id FROM t) UNION ALL SELECT b.id, b.parent, b.hops FROM p JOIN b ON b.id = p.parent),
+  f AS (SELECT p.hops hop, p.parent a, p.id b, arg_min(relation, c.id) relation, arg_min(confidence, c.id) confidence
+    FROM p JOIN c ON (source = p.parent AND target = p.id) OR (source = p.id AND target = p.parent) GROUP BY ALL)
+SELECT hop, x.label AS source_label, relation, confidence, y.label AS target_label FROM f JOIN n x ON x.id = a JOIN n y ON y.id = b""",
+)
+def path_text(spark, d):
+    n, e = graph(spark, d)
+    a, b = (G.seeds(n, q, 1).first()["id"] for q in (SOURCE_TERM, TARGET_TERM))
+    return G.path_hops(e, n, G.shortest_path(e, a, b))
+
+
+@R.query(
+    "path_of_a_chain",
+    "SELECT i AS hop, 'c' || lpad((i - 1)::VARCHAR, 2, '0') AS source_label, 'next' AS relation, 'EXTRACTED' AS confidence, 'c' || lpad(i::VARCHAR, 2, '0') AS target_label FROM range(1, 60) t(i)",
+)
+def path_of_a_chain(spark, d):
+    """A path of 59 hops through 60 nodes: a search has no bound on its hops."""
+    name = lambda c: F.concat(F.lit("c"), F.lpad(c.cast("string"), 2, "0"))
+    n = spark.range(60).select(name(F.col("id")).alias("id"), name(F.col("id")).alias("label"))
+    i = F.col("i")
+    e = spark.range(59).withColumnRenamed("id", "i").select(i.alias("id"), name(i + 1).alias("source"), name(i).alias("target"), F.lit("next").alias("relation"), F.lit("EXTRACTED").alias("confidence"))
+    return G.path_hops(e, n, G.shortest_path(e, "c00", "c59"))
+
+
 @R.query(
     "shortest_path_unreachable",
     f"{BASE} SELECT n.id FROM n WHERE id NOT IN (SELECT src FROM u WHERE src <> dst)",
@@ -242,6 +271,13 @@ for _rounds in (1, 2, 3):
     _lpa(_rounds)
 
 
+@R.query("dfs_edges")
+def dfs_edges(spark, d):
+    """The tree of the depth-first search."""
+    n, e = graph(spark, d)
+    return G.dfs(e, [r["id"] for r in G.seeds(n, QUESTION).collect()], 2).where("parent is not null").select("step", "parent", "id", "depth")
+
+
 @R.query("lpa_converged")
 def lpa_converged(spark, d):
     n, e = graph(spark, d)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,7 +45,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return it without its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """Write df to the shared checkpoint folder, once, and return what was written, without its lineage.
+
+    The folder goes when the driver ends; that of `instead_of`, a frame that no other frame is derived from any more,
+    goes at once.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(at(path))
+    old = getattr(instead_of, "_written_to", None)
+    if old:
+        fs.delete(at(old), True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out

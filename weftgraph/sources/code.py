@@ -63,6 +63,7 @@ class Parsed:
     functions: list[Function]
     classes: list[Class]
     masked: str
+    text: str = ""
 
 
 _STR2, _STR1 = r'"(?:[^"\\\n]|\\.)*"', r"'(?:[^'\\\n]|\\.)*'"
@@ -315,7 +316,7 @@ def parse(text: str, language: str) -> Parsed:
         while first > 1 and (above := _annotation(first - 2, lines, masked, opens, starts)) is not None:
             first = above + 1
         functions.append(Function(name, owner, n, first, line(max(begin, end - 1)), begin, end, params, doc))
-    return Parsed(language, comments, functions, classes, masked)
+    return Parsed(language, comments, functions, classes, masked, text)
 
 
 _CALL = re.compile(r"(?:[\w$]+(?:\.|::|->))*([\w$]+)(?:!?)\s*\(")
@@ -327,3 +328,101 @@ def calls(p: Parsed, f: Function) -> list[str]:
     body = p.masked[f.begin : f.end]
     head = body.find(f.name)
     return list(dict.fromkeys(m[1] for m in _CALL.finditer(body, head + len(f.name)) if m[1] not in _KEYWORDS))
+
+
+_STRING = r"[\"'`](?P<s>)"  # a module name begins behind this quote
+#: language -> patterns of whole import statements over masked text. `s` marks the begin of a quoted name, which is
+#: read from the text itself; `m` is a name or a list of names, `from` what the names of the list are relative to.
+_IMPORTS = {
+    "python": (r"(?:^|[;:])[ \t]*from[ \t]+(?P<from>\.*[ \t]*[\w.]*)[ \t\\\n]+import\b[ \t]*(?P<m>\([^)]*\)|(?:[^\n;\\]|\\\n)+)|(?:^|[;:])[ \t]*import[ \t]+(?P<m2>(?:[^\n;\\]|\\\n)+)",),
+    "javascript": (
+        rf"\bimport\b\s*(?:type\s+)?(?:[\w$*{{}},\s]*?\bfrom\s*)?{_STRING}", rf"\bexport\s+(?:type\s+)?(?:\*(?:\s*as\s+[\w$]+)?|\{{[^}}]*\}})\s*from\s*{_STRING}",
+        rf"(?<![\w$.])(?:require|import)\s*\(\s*{_STRING}",
+    ),
+    "rust": (r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<m>[^;]+);", r"^[ \t]*(?:pub\s+)?extern\s+crate\s+(?P<m>\w+)"),
+    "go": (rf"^import[ \t]+(?:[\w.]+[ \t]+)?{_STRING}", r"^import[ \t]*\((?P<block>[^)]*)\)"),
+    "java": (r"^[ \t]*import\s+(?:static\s+)?(?P<m>[\w.$*]+)",),
+    "scala": (r"^[ \t]*import\s+(?P<m>[\w.$*_]+(?:\.?\{[^}]*\})?(?:\s*,\s*[\w.$*_]+(?:\.?\{[^}]*\})?)*)",),
+    "c": (r"^[ \t]*#[ \t]*(?:include|include_next|import)[ \t]*(?:<(?P<m>[^>\n]+)>|\"(?P<s>))",),
+    "swift": (r"^[ \t]*(?:@\w+[ \t]+)?import[ \t]+(?:(?:class|struct|enum|protocol|func|var|let|typealias)[ \t]+)?(?P<m>[\w.]+)",),
+    "css": (rf"@(?:import|use|forward)\s+(?:url\(\s*)?{_STRING}", r"@import\s+url\(\s*(?P<m>[^\"'\s)]+)"),
+    "elixir": (r"^[ \t]*(?:import|alias|use|require)[ \t]+(?P<m>[A-Z][\w.]*(?:\{[^}]*\})?)",),
+    "ruby": (rf"^[ \t]*(?:require|require_relative|load)\b[ \t(]*{_STRING}", rf"^[ \t]*autoload[ \t(]+:\w+,[ \t]*{_STRING}"),
+    "php": (r"^[ \t]*use[ \t]+(?:function[ \t]+|const[ \t]+)?(?P<m>\\?[A-Za-z][\w\\]*(?:\{[^}]*\})?[^;({]*);", rf"\b(?:require|include)(?:_once)?\b[ \t(]*{_STRING}"),
+    "c_sharp": (r"^[ \t]*(?:global[ \t]+)?using[ \t]+(?:static[ \t]+)?(?:\w+[ \t]*=[ \t]*)?(?P<m>[A-Za-z_][\w.]*)[ \t]*(?:<[^;]*>)?;",),
+    "haskell": (r"^import[ \t]+(?:safe[ \t]+)?(?:qualified[ \t]+)?(?P<m>[A-Z][\w.]*)",),
+    "lua": (rf"\brequire\b[ \t(]*{_STRING}",), "dart": (rf"^[ \t]*(?:import|export|part)[ \t]+{_STRING}",), "shell": (r"^[ \t]*(?:source|\.)[ \t]+(?P<m>[\w./-]+)",),
+    "zig": (rf"@import\s*\(\s*{_STRING}",),
+}
+_IMPORTS |= {"typescript": _IMPORTS["javascript"], "cpp": _IMPORTS["c"], "kotlin": _IMPORTS["java"]}
+_QUOTE = re.compile(r"[\"`]")
+_GROUP = re.compile(r"[{},]")
+
+
+def _leaves(tree: str, joint: str) -> list[str]:
+    """The paths of a grouped import such as `a::{b, c::{d, e as f}}`; other names (`as`, `=>`) are left out, and `self`,
+    `_` and `*` stand for the path before them."""
+    out, stack, part = [], [""], ""
+
+    def close():
+        name = re.split(r"\s+as\s+|\s*=>\s*", part.strip())[0].strip()
+        if name:
+            path = (stack[-1] + name).removesuffix("*").removesuffix(joint)
+            for end in ("self", "_"):
+                if path == end or path.endswith(joint + end):
+                    path = path[: -len(end)].removesuffix(joint)
+            out.append(path)
+
+    at = 0
+    for m in _GROUP.finditer(tree):
+        part += tree[at : m.start()]
+        at = m.end()
+        if m[0] == "{":
+            stack.append(stack[-1] + part.strip())
+        else:
+            close()
+            if m[0] == "}" and len(stack) > 1:
+                stack.pop()
+        part = ""
+    part += tree[at:]
+    close()
+    return [x for x in out if x]
+
+
+def imports(p: Parsed) -> list[tuple[int, str]]:
+    """(line, module) of the import statements of a text, in order, each once per line.
+
+    Statements are read whole, over line ends, groups and lists, and only outside of comments and strings. Relative
+    modules lose their dots; `from . import a` imports a.
+    """
+    found: list[tuple[int, str]] = []
+    starts = [0] + [m.end() for m in re.finditer("\n", p.masked)]
+
+    def quoted(at: int) -> str:
+        quote = p.text[at - 1]
+        return p.text[at : end] if 0 <= (end := p.text.find(quote, at)) else ""
+
+    for source in _IMPORTS.get(p.language, ()):
+        key = ("i", source)
+        if key not in _patterns:
+            _patterns[key] = re.compile(source, re.M)
+        for m in _patterns[key].finditer(p.masked):
+            groups, where = m.groupdict(), m.start() + len(m[0]) - len(m[0].lstrip(" \t\n;:"))
+            line = bisect_right(starts, where)
+            if groups.get("block") is not None:
+                at = m.start("block")
+                while q := _QUOTE.search(p.masked, at, m.end("block")):
+                    name = quoted(q.end())
+                    found.append((bisect_right(starts, q.start()), name))
+                    at = q.end() + len(name) + 1
+            elif groups.get("s") is not None:
+                found.append((line, quoted(m.start("s"))))
+            elif p.language == "python":
+                base = re.sub(r"\s", "", groups["from"] or "").lstrip(".")
+                names = [base] if base else [re.split(r"\s+as\s+", x.strip(" \t\n\\()"))[0] for x in (groups["m"] or groups["m2"]).split(",")]
+                found += [(line, x) for x in names if re.fullmatch(r"[\w.]+", x)]
+            else:
+                joint = {"rust": "::", "php": "\\"}.get(p.language, ".")
+                grouped = p.language in ("rust", "scala", "elixir", "php")
+                found += [(line, x.strip("\\")) for x in (_leaves(groups["m"], joint) if grouped else [groups["m"].strip()])]
+    return sorted({(n, x) for n, x in found if x})

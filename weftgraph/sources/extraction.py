@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from ..functions.extract import IMPORTS, TAGS
+from ..functions.extract import TAGS
 from ..functions.scalars import norm_path
 from . import code
 
@@ -49,13 +49,9 @@ def rows_of(path: str, text: str):
         return
     p = code.parse(text, language)
     file_id = _id(stem_of(path))
-    lines = text.replace("\r\n", "\n").split("\n")
-    pattern = IMPORTS.get(language)
-    if pattern:
-        for n, line in enumerate(lines, 1):
-            m = re.match(pattern, line)
-            if m and (module := next((g for g in m.groups() if g), "")):
-                yield "edge", None, None, n, None, None, file_id, _target(module), "imports", "EXTRACTED", 1.0
+    for n, module in code.imports(p):
+        if target := _target(module):
+            yield "edge", None, None, n, None, None, file_id, target, "imports", "EXTRACTED", 1.0
     found = sorted([(1, file_id), *((c.line, _id(file_id, c.name)) for c in p.classes)])
     for f in p.functions:
         found.append((f.line, _id(file_id, f.owner, f.name) if f.owner else _id(file_id, f.name)))
@@ -108,6 +104,22 @@ def extract_code(contents: DataFrame) -> DataFrame:
     return files.mapInArrow(stage, SCHEMA)
 
 
+def import_rows(contents: DataFrame) -> DataFrame:
+    """(file_path, line_no, module) of the imports of every code file of (file_path, content); see `code.imports`."""
+
+    def stage(batches):
+        for b in batches:
+            out = []
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if language := code.language_of(path):
+                    out += [(path, n, m) for n, m in code.imports(code.parse(text, language))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int32(), pa.string()))], names=["file_path", "line_no", "module"])
+
+    files = contents.select(norm_path("file_path").alias("file_path"), "content").where("file_path is not null and content is not null")
+    return files.mapInArrow(stage, "file_path string, line_no int, module string")
+
+
 def nodes_and_edges(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = rows.where("kind = 'node'").select("id", "label", F.col("file_path").alias("source_file"), "source_line", "docstring", "node_type")
     e = rows.where("kind = 'edge'").select("source", "target", "relation", "confidence", "confidence_score", F.col("file_path").alias("source_file"), "source_line")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,11 +80,12 @@ def listing(root: str) -> list[tuple[str, int]]:
     return out
 
 
-def detect(spark: SparkSession, root: str) -> DataFrame:
+def detect(spark: SparkSession, root: str, paper_text: Callable[[bytes], str] | None = None) -> DataFrame:
     """(file_path, file_type, language, size_bytes, content_hash, content) of the readable files of a tree.
 
     Sizes are judged before contents are read; text is decoded as UTF-8 with replacement; other kinds have a null
-    content. Contents are read and hashed by the executors, which must see the folder.
+    content, papers only if no `paper_text` is given that turns their bytes into text (a paper it fails on has none).
+    Contents are read and hashed by the executors, which must see the folder.
     """
     rows = [(p, n) for p, n in listing(root)]
     files = spark.createDataFrame(rows, "file_path string, size_bytes long") if rows else spark.createDataFrame([], "file_path string, size_bytes long")
@@ -93,6 +95,12 @@ def detect(spark: SparkSession, root: str) -> DataFrame:
     schema = "file_path string, size_bytes long, file_type string, language string, content_hash string, content string"
     n = max(1, min(len(rows) // 50, 512))
 
+    def text_of(data):
+        try:
+            return paper_text and paper_text(data)
+        except Exception:  # one broken paper must not end the job
+            return None
+
     def read(batches):
         import hashlib
 
@@ -102,7 +110,7 @@ def detect(spark: SparkSession, root: str) -> DataFrame:
                 with open(os.path.join(base, p), "rb") as f:
                     data = f.read()
                 hashes.append(hashlib.sha256(data).hexdigest())
-                contents.append(data.decode("utf-8", "replace") if kind in ("code", "document") else None)
+                contents.append(data.decode("utf-8", "replace") if kind in ("code", "document") else text_of(data) if kind == "paper" else None)
             yield pdf.assign(content_hash=hashes, content=contents)
 
     return files.repartition(n).mapInPandas(read, schema)

@@ -25,7 +25,8 @@ class Noop:
 
 
 class Retrying:
-    """Wraps a request function: up to `tries` attempts with doubling pauses after a transient error."""
+    """Wraps a request function: up to `tries` attempts with doubling pauses after a transient error: one of the given
+    types without a status, or one with the status 429 or 500 and above (attribute `status` or `code`)."""
 
     def __init__(self, send: Callable[[str], str], tries: int = 3, pause: float = 0.5, transient: tuple[type[Exception], ...] = (OSError,)):
         self.send, self.tries, self.pause, self.transient = send, tries, pause, transient
@@ -39,8 +40,10 @@ class Retrying:
         for k in range(self.tries):
             try:
                 return self.send(prompt)
-            except self.transient:
-                if k + 1 == self.tries:
+            except Exception as e:
+                status = getattr(e, "status", None) or getattr(e, "code", None)
+                passing = status == 429 or status >= 500 if isinstance(status, int) else isinstance(e, self.transient)
+                if not passing or k + 1 == self.tries:
                     raise
                 time.sleep(self.pause * 2**k)
         return json.dumps({"nodes": [], "edges": []})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,5 +41,24 @@ class Store:
                 self._fs.delete(self._path(f"{self.folder}/{name}/{x}"), True)
         return self.read(name)
 
+    def add(self, name: str, df: DataFrame) -> None:
+        """Add rows to a log without rewriting it; read it by `log`."""
+        df.write.mode("append").parquet(f"{self.folder}/{name}-log")
+
+    def log(self, name: str, schema: str) -> DataFrame:
+        at = f"{self.folder}/{name}-log"
+        return self.spark.read.schema(schema).parquet(at) if self._fs.exists(self._path(at)) else self.spark.createDataFrame([], schema)
+
     def append(self, name: str, df: DataFrame, schema: str) -> DataFrame:
         return self.write(name, self.read(name, schema).unionByName(df))
+
+
+def write_text(spark: SparkSession, path: str, parts: Iterable[str]) -> None:
+    """One text file in any file system, written part by part."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        for part in parts:
+            stream.write(bytearray(part.encode()))
+    finally:
+        stream.close()

@@ -1,4 +1,4 @@
-"""Following changes: a file stream that triggers updates, debounced event sessions, and streaming orphan counts."""
+"""Following changes: a file stream that triggers updates, and debounced event sessions."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..commits import Folder
 from ..functions import extract as X
 
 
@@ -22,18 +23,26 @@ def watch(spark: SparkSession, root: str, update: Callable[[list[str]], None], s
     """Calls `update` with the distinct changed paths of each batch; an error in it is reported and the watch goes on.
 
     The trigger interval debounces: changes within it make one batch. `state` holds the stream's progress, so a
-    restart neither skips nor repeats batches that were finished.
+    restart neither skips nor repeats batches that were finished. The paths of a batch whose update failed are kept
+    there too and go with the next batch, also after a restart.
     """
+    failed = Folder(spark, f"{state}/failed")
 
     def batch(df: DataFrame, number: int) -> None:
-        paths = [r["file_path"] for r in df.select("file_path").distinct().toLocalIterator()]
-        if paths:
-            try:
-                update(paths)
-            except Exception as e:  # the watcher outlives a failing update
-                print(f"batch {number}: {e}")
-
-    w = changed_files(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", state)
+        n, late = failed.last()
+        paths = {r["file_path"] for r in df.select("file_path").distinct().toLocalIterator()} | set(late.get("paths", ()))
+        if not paths:
+            return
+        try:
+            update(sorted(paths))
+            left = []
+        except Exception as e:  # the watcher outlives a failing update
+            print(f"batch {number}: {e}")
+            left = sorted(paths)
+        if left != late.get("paths", []):
+            failed.commit(n + 1, {"paths": left})
+
+    w = changed_files(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", f"{state}/progress")
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=interval)).start()
 
 
