@@ -303,7 +303,7 @@ def rationale_parent_asof(spark, d):
 
 #: What an import line of the test data looks like, as SQL sees it line by line.
 _IMPORT_LINES = {
-    "python": r"^\s*(?:from|import)\s+([\w.]+)", "java": r"^import\s+(?:static\s+)?([\w.]+)", "c": r"^#include\s*[<\"]([^>\"]+)", "cpp": r"^#include\s*[<\"]([^>\"]+)",
+    "python": r"^\s*(?:from|import)\s+([\w.]+)", "java": r"^\s*import\s+(?:static\s+)?([\w.]+)", "c": r"^#include\s*[<\"]([^>\"]+)", "cpp": r"^#include\s*[<\"]([^>\"]+)",
     "javascript": r"^(?:import\b.*\bfrom\s*|(?:const|let|var)\b.*=\s*require\()[\"\']([^\"\']+)", "typescript": r"^(?:import\b.*\bfrom\s*|(?:const|let|var)\b.*=\s*require\()[\"\']([^\"\']+)",
     "rust": r"^use\s+([\w:]+)\s*;", "go": r"^\s*(?:import\s+)?\"([\w./-]+)\"$",
 }
