@@ -128,3 +128,22 @@ def imported(path, text):
 def test_imports(path, text, modules):
     got = imported(path, text) if code.language_of(path) else []
     assert sorted(got) == sorted(modules)
+
+
+def test_a_tree_read_by_the_file_source_equals_the_local_one(spark, tmp_path):
+    from weftgraph.sources.extraction import languages
+    from weftgraph.sources.files import detect
+
+    root = tmp_path / "t"
+    (root / "a" / "b").mkdir(parents=True)
+    (root / ".git").mkdir()
+    for name, text in {"x.py": "x = 1\n", "a/y.js": "y()\n", "a/b/z.md": "# Z\n", "a/b/no.py": "", "a/skip.py": "s", ".git/c.py": "c", "p.pdf": "%PDF", "bin.xyz": "b"}.items():
+        (root / name).write_text(text)
+    (root / "a" / "bad.py").write_bytes(b"\xff = 1")
+    (root / ".gitignore").write_text("skip.py\n")
+    (root / "a" / "b" / ".gitignore").write_text("no.py\n")
+    columns = ["file_path", "size_bytes", "file_type", "language", "content_hash", "content"]
+    local, uri = (sorted(map(tuple, detect(spark, r).select(columns).collect())) for r in (str(root), f"file://{root}"))
+    assert local == uri and [r[0] for r in local] == ["a/b/z.md", "a/bad.py", "a/y.js", "p.pdf", "x.py"]
+    known = {r["language"]: r for r in languages(spark).collect()}
+    assert known["typescript"]["extensions"] == ["ts", "tsx"] and known["haskell"]["imports"] and len(known) == len(set(code.EXTENSIONS.values()))

@@ -235,3 +235,29 @@ def test_pending_when_the_last_run_is_completed(spark):
     runs = [(1, "100", "completed"), (2, "200", "failed"), (3, "300", "completed")]
     m = [("a", "1", "code", "1"), ("b", "1", "code", "1"), ("c", "1", "code", "1")]
     assert pending(spark, m, [("a", "1", "150"), ("b", "1", "250"), ("c", "1", "99999999")], runs) == ["b"]
+
+
+def test_a_commit_is_created_once(spark, tmp_path):
+    from weftgraph.commits import Folder
+
+    for local in (True, False):  # by a hard link, and by a rename that does not overwrite
+        f = Folder(spark, f"file://{tmp_path}/{local}")
+        f._local = local
+        assert f.last() == (0, {}) and f.commit(1, {"a": 1}) and not f.commit(1, {"a": 2}) and f.commit(2, {"a": 3})
+        assert f.last() == (2, {"a": 3}) and f.read(1) == {"a": 1} and f.numbers() == [1, 2]
+        assert not [x for x in (tmp_path / str(local) / "commits").iterdir() if x.suffix == ".tmp"]
+
+
+def test_log_survives_a_crash_between_output_and_commit(spark, tmp_path, monkeypatch):
+    log = inc.IncrementalLog(spark, f"file://{tmp_path}/log")
+    rows = spark.createDataFrame([(1, "v"), (2, "v")], "seq long, s string")
+    monkeypatch.setattr(log.folder, "commit", lambda n, c: (_ for _ in ()).throw(OSError("gone")))
+    monkeypatch.setattr(log.folder, "delete", lambda name: None)  # a crash cleans nothing up
+    try:
+        log.run(rows, "seq", lambda d: d)
+        raise AssertionError
+    except OSError:
+        pass
+    again = inc.IncrementalLog(spark, f"file://{tmp_path}/log")
+    assert again.output() is None and again.processed() == []
+    assert again.run(rows, "seq", lambda d: d) == 2 and again.output().count() == 2

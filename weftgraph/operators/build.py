@@ -74,16 +74,17 @@ def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Calls and imports with the target replaced by the id its name stands for; a guess that resolves becomes
     EXTRACTED 0.9. Targets that are ids already, and names that nothing has, stay as they are.
 
-    The dictionary is unique per key; hot names are spread by the salt of `orphans`-style joins only where AQE
-    finds the partition skewed, since every row of edges is kept.
+    Names are counted down to one row each before they meet the ids and the dictionary, so no hot name takes part in
+    these joins; the edges then meet the answers once, on the name they carry (AQE splits a hot one).
     """
     named = edges.where(F.col("relation").isin("calls", "imports"))
     rest = edges.where(~F.col("relation").isin("calls", "imports"))
     d = symbol_dictionary(nodes).withColumnRenamed("id", "real_id")
-    known = nodes.select(F.col("id").alias("target"), F.lit(True).alias("_known"))
-    j = named.join(known, "target", "left").withColumn("key", target_id(F.element_at(F.split("target", "::"), -1)))
-    j = j.join(d, "key", "left")
-    hit = F.col("_known").isNull() & F.col("real_id").isNotNull()
+    known = nodes.select(F.col("id").alias("target"))
+    names = named.select("target").distinct().join(known, "target", "left_anti")
+    names = names.withColumn("key", target_id(F.element_at(F.split("target", "::"), -1))).join(d, "key").select("target", "real_id")
+    j = named.join(names, "target", "left")
+    hit = F.col("real_id").isNotNull()
     better = hit & (F.col("confidence") == "INFERRED")
     out = j.select(
         "id", "source", F.when(hit, F.col("real_id")).otherwise(F.col("target")).alias("target"), "relation",

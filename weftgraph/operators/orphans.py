@@ -16,8 +16,8 @@ from ..commits import Folder, scratch
 from ..session import materialize
 from ..sources.tables import small
 
-#: Bad keys up to this many are broadcast to the references; more meet them by a shuffle.
-MAX_BROADCAST = 200_000
+#: Bad keys up to this many, with this many bytes in all, are broadcast to the references; more meet them by a shuffle.
+MAX_BROADCAST, MAX_BYTES = 200_000, 32 << 20
 #: References of a key from which it counts as hot; hot keys never go through a shuffle of references.
 HOT = 1_000_000
 
@@ -79,8 +79,8 @@ def probe(refs: DataFrame, index: DataFrame) -> DataFrame:
         .where("bad or hot")
         .drop("first_ref")
     )
-    few = states.where("bad").limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
-    if few:
+    n, size = states.where("bad").agg(F.count("*"), F.coalesce(F.sum(F.octet_length("key")), F.lit(0))).first()
+    if n <= MAX_BROADCAST and size <= MAX_BYTES:
         hit = refs.join(F.broadcast(states.where("bad").drop("hot", "bad")), "key")
     else:
         hot = small(states.where("hot"), MAX_BROADCAST)  # at most one per HOT references

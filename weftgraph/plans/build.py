@@ -334,6 +334,14 @@ def extract_code(spark, d):
     return extraction.extract_code(table(spark, d, "file_contents", "file_path", "content").distinct())
 
 
+@R.query(
+    "language_configs",
+    "SELECT language, count(*) AS extensions FROM (VALUES " + ", ".join(f"('{e}', '{x}')" for e, x in EXTENSIONS.items()) + ") t(e, language) GROUP BY language",
+)
+def language_configs(spark, d):
+    return extraction.languages(spark).select("language", F.size("extensions").cast("long").alias("extensions"))
+
+
 @R.query("parse_code_udtf")
 def parse_code_udtf(spark, d):
     """The extractor as an SQL table function: nodes per type and language."""

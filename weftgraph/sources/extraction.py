@@ -135,3 +135,12 @@ def register(spark: SparkSession) -> None:
             yield from rows_of(path, text)
 
     spark.udtf.register("parse_code", ParseCode)
+
+
+def languages(spark: SparkSession) -> DataFrame:
+    """(language, extensions, functions, classes, imports): what the reader knows of each language."""
+    by: dict[str, list[str]] = {}
+    for e, language in code.EXTENSIONS.items():
+        by.setdefault(language, []).append(e)
+    rows = [(x, sorted(es), x in code._FUNCTIONS, code._pattern("c", x) is not None, x in code._IMPORTS) for x, es in sorted(by.items())]
+    return spark.createDataFrame(rows, "language string, extensions array<string>, functions boolean, classes boolean, imports boolean")

@@ -44,7 +44,7 @@ def download(urls: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
 
 def fetch(urls: DataFrame, get: Callable[[str], bytes]) -> DataFrame:
     """(url, file_name, text) of the allowed URLs. Pages become plain text, other bodies stay; see `download`."""
-    got = download(urls, get).withColumn("body", F.decode("body", "UTF-8"))
+    got = download(urls, get).withColumn("body", F.make_valid_utf8(F.col("body").cast("string")))
     return got.select("url", "file_name", F.when(X.looks_like_html("body"), X.html_to_text("body")).otherwise(F.col("body")).alias("text"))
 
 
@@ -52,7 +52,7 @@ def ingest(urls: DataFrame, get: Callable[[str], bytes], folder: str) -> list[tu
     """Save what is behind the allowed URLs into `folder`, which all executors share: papers as they come, pages as
     text under the extension `.md`, anything else as it is. Returns (url, path) of the files that were written; of
     URLs with one file name the last one written stays."""
-    text = F.decode("body", "UTF-8")
+    text = F.make_valid_utf8(F.col("body").cast("string"))
     page = ~F.col("is_pdf") & X.looks_like_html(text)
     name = F.when(page, F.concat(F.regexp_replace("file_name", r"\.[^.]*$", ""), F.lit(".md"))).otherwise(F.col("file_name"))
     rows = download(urls, get).where("body is not null").select(
