@@ -30,6 +30,13 @@ def deliveries(df: DataFrame) -> list[tuple[int, object]]:
     return sorted((r["snapshot_no"], r["at"]) for r in last.collect())
 
 
+def last_deliveries(df: DataFrame, last: list[tuple[int, object]] | None = None) -> DataFrame:
+    """Only rows of the last delivery of each snapshot number; one row per snapshot is broadcast."""
+    last = deliveries(df) if last is None else last
+    frame = df.sparkSession.createDataFrame(last, df.select("snapshot_no", F.col("delivered_at").alias("_at")).schema)
+    return df.join(F.broadcast(frame), "snapshot_no").where(F.col("delivered_at").eqNullSafe(F.col("_at"))).drop("_at")
+
+
 def key_hashes(rows: DataFrame) -> DataFrame:
     """(record_key, h) of one snapshot: rows (record_key, v), v the hash of the compared value; null keys are ignored.
 
@@ -141,9 +148,7 @@ def staged(df: DataFrame, key: Column, value: Column) -> tuple[list[tuple[int, o
     last = deliveries(rows)
     if not last:
         return last, rows
-    kept = rows.join(
-        F.broadcast(df.sparkSession.createDataFrame(last, rows.select("snapshot_no", F.col("delivered_at").alias("_at")).schema)), "snapshot_no"
-    ).where(F.col("delivered_at").eqNullSafe(F.col("_at")))  # one row per snapshot is broadcast
+    kept = last_deliveries(rows, last)
     path = scratch(df.sparkSession, "snapshots")
     kept.select("snapshot_no", "record_key", F.coalesce(F.xxhash64("compared"), F.lit(0)).alias("v")).write.partitionBy("snapshot_no").parquet(path)
     return last, df.sparkSession.read.schema("record_key string, v long, snapshot_no int").parquet(path)
