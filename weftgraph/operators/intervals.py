@@ -95,6 +95,9 @@ CROWD = 64
 def _meet(df: DataFrame, seq: Column, intervals: DataFrame, how: str) -> DataFrame:
     rows = df.withColumn("_seq", seq.cast("long")).where("_seq is not null")
     real = intervals.where("lo <= hi").select("lo", "hi")
+    few = real.limit(MAX_BROADCAST + 1).collect()
+    if len(few) <= MAX_BROADCAST:  # derived once; the small jobs below read what came
+        real = df.sparkSession.createDataFrame(few, "lo long, hi long")
     b = real.agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.count("*").alias("n")).first()
     if not b["n"]:
         return (rows if how == "left_anti" else rows.limit(0)).drop("_seq")
@@ -132,8 +135,8 @@ def within(df: DataFrame, seq: Column, intervals: DataFrame) -> DataFrame:
     A range join done as an equi-join: intervals are cut at the borders of buckets as wide as the average distance
     of their starts (all beyond the last start is one bucket, so an open end costs nothing), and rows meet only the
     intervals of their own bucket. Where starts are crowded, distinct numbers and starts are sorted together
-    instead, so no bucket compares all of its rows with all of its intervals. Two small jobs over the intervals
-    choose the width and the way.
+    instead, so no bucket compares all of its rows with all of its intervals. Up to MAX_BROADCAST intervals come to
+    the driver and go out again; small jobs over them choose the width and the way.
     """
     return _meet(df, seq, intervals, "left_semi")
 
