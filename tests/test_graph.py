@@ -1,5 +1,7 @@
+import hashlib
 import random
-from collections import deque
+import uuid
+from collections import Counter, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,63 @@ def test_empty_graph(spark):
     assert G.bfs(e, n, 2).visited.count() == 0
 
 
+def plain_labels(ids, links, rounds):
+    """Labels and rounds by the definition: every node of a phase counts the votes of its neighbours and its own."""
+    near = {i: Counter() for i in ids}
+    for a, b in links:
+        if a in near and b in near:
+            near[a][b] += 1
+            near[b][a] += a != b
+    turn = {i: int(hashlib.md5(i.encode()).hexdigest()[0], 16) % G.PHASES for i in ids}
+    label, seen = {i: i for i in ids}, []
+    for r in range(1, rounds + 1):
+        for q in range(G.PHASES):
+            new = {}
+            for i in ids:
+                if turn[i] == q:
+                    votes = Counter({label[i]: 1})
+                    for b, w in near[i].items():
+                        votes[label[b]] += w
+                    new[i] = min(votes, key=lambda x: (-votes[x], x))
+            label |= new
+        if label in seen[-2:]:
+            return label, r
+        seen.append(dict(label))
+    return label, rounds
+
+
+def odd_graph(seed=11, n=90, m=150):
+    """Parallel edges, loops, isolated nodes, ids whose order is that of their bytes, and an edge without a node."""
+    r = random.Random(seed)
+    ids = [f"{r.choice(['v', 'V', 'é', '~'])}{i}" for i in range(n)]
+    links = [(r.choice(ids[:-5]), r.choice(ids[:-5])) for _ in range(m)]
+    return ids, [*links, *links[:20], *[(b, a) for a, b in links[20:30]], (ids[0], ids[0]), (ids[1], "gone"), ("gone", ids[2])]
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+@pytest.mark.parametrize("rounds", [1, 100])
+def test_labels_by_their_definition(spark, limit, rounds):
+    ids, links = odd_graph()
+    n, e = make(spark, [(i, i, "f", 0) for i in ids], [(a, b, "x") for a, b in links])
+    labels, r = G.label_propagation(e, n, rounds, limit)
+    want, rounds_of = plain_labels(ids, links, rounds)
+    assert {x["id"]: x["label"] for x in labels.collect()} == want and r == rounds_of
+
+
+def test_labels_of_small_graphs_take_few_jobs(spark):
+    """Jobs don't grow with the rounds: the state was written and counted in each of them."""
+    ids, links = odd_graph(40, 200, 320)
+    n, e = make(spark, [(i, i, "f", 0) for i in ids], [(a, b, "x") for a, b in links])
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "labels")
+    try:
+        labels, r = G.label_propagation(e, n)
+        labels.collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert r == 8 and len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) <= 25
+
+
 def test_merge_and_diff(spark):
     a, ea = make(spark, [("a::Foo", "Foo", "f", 0), ("s::X", "X", "f", 0)], [("a::Foo", "s::X", "calls")])
     b, eb = make(spark, [("s::X", "other", "g", 1), ("b::Baz", "Baz", "g", 1)], [("b::Baz", "s::X", "calls")])
