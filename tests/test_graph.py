@@ -146,6 +146,16 @@ def test_labels_by_their_definition(spark, limit, rounds):
     assert {x["id"]: x["label"] for x in labels.collect()} == want and r == rounds_of
 
 
+@pytest.mark.parametrize("most", [0, 12])
+def test_labels_in_steps_with_many_changes(spark, monkeypatch, most):
+    """Distributed steps that never, or only now and then, have few changes."""
+    monkeypatch.setattr(G, "MAX_CHANGED", most)
+    ids, links = odd_graph(7, 60, 90)
+    n, e = make(spark, [(i, i, "f", 0) for i in ids], [(a, b, "x") for a, b in links])
+    labels, r = G.label_propagation(e, n, 100, 0)
+    assert ({x["id"]: x["label"] for x in labels.collect()}, r) == plain_labels(ids, links, 100)
+
+
 def test_labels_of_small_graphs_take_few_jobs(spark):
     """Jobs don't grow with the rounds: the state was written and counted in each of them."""
     ids, links = odd_graph(40, 200, 320)
